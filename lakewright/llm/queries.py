@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, simhash, toxicity, warc
+from . import decontaminate, langid, media, mixing, simhash, toxicity, warc
 from .common import crc_mod
 
 
@@ -30,6 +30,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.with_media(table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,6 +49,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_simhash, op3_langid, op8_mixing, op9_toxicity, op10_decontaminate)
+    f.__name__: f for f in (op1_warc, op2_simhash, op3_langid, op4_webp, op8_mixing, op9_toxicity, op10_decontaminate)
 }
 ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
