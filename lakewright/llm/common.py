@@ -105,8 +105,9 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str, label: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the earlier rows of the same group, in the given order.
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str], label: str) -> DataFrame:
+    """Adds the columns that ``sums`` names: each is the sum of its value column over the earlier rows
+    of the same group, in the given order.
 
     No group is gathered in one task: rows are ranged over (group, order), each range sums its own
     rows, and the ranges' sums (one row per range and group) give the offsets. The ranged rows are
@@ -115,8 +116,9 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
     """
     ranged = written(df.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()), label)
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__range", *group).agg(F.sum(value).alias("__sum"))
-    offsets = offsets.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
     inside = Window.partitionBy("__range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(offsets, ["__range", *group]).withColumn(out, F.col("__offset") + F.col("__inside")).drop("__range", "__offset", "__inside")
+    offsets = ranged.groupBy("__range", *group).agg(*[F.sum(v).alias(f"__of_{k}") for k, v in sums.items()])
+    offsets = offsets.select("__range", *group, *[F.coalesce(F.sum(f"__of_{k}").over(before), F.lit(0)).alias(f"__of_{k}") for k in sums])
+    summed = ranged.withColumns({f"__in_{k}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()})
+    joined = summed.join(offsets, ["__range", *group]).withColumns({k: F.col(f"__of_{k}") + F.col(f"__in_{k}") for k in sums})
+    return joined.drop("__range", *[f"__{x}_{k}" for k in sums for x in ("of", "in")])

@@ -59,7 +59,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_COP
     slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     slim = slim.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit(NO_SOURCE)))
     slim = slim.withColumn("one", F.lit(1).cast("long")).withColumn("tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    ranked = prefix_sums(slim, ["skey"], ["size", "tie"], "one", "before", "mix")
+    ranked = prefix_sums(slim, ["skey"], ["size", "tie"], {"before": "one"}, "mix")
     targets = source_targets(slim.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, cap)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "skey")), 1, 5), 16, 10).cast("double") / F.lit(1048576.0)
     targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", offset)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, mixing, simhash, toxicity, warc
-from .common import crc_mod
+from . import chat, decontaminate, langid, media, mixing, simhash, toxicity, warc
+from .common import crc_mod, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,13 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.with_media(table(spark, sf_dir, "documents")))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    added = spark.range(2).select(F.lit(-1).cast("long"), "id", role, F.lit(chat.ADDED_TEXT))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(added)
+    return chat.digests(written(chat.formatted(turns), "chat"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +57,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_simhash, op3_langid, op4_webp, op8_mixing, op9_toxicity, op10_decontaminate)
+    f.__name__: f for f in (op1_warc, op2_simhash, op3_langid, op4_webp, op7_chat, op8_mixing, op9_toxicity, op10_decontaminate)
 }
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op7_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
