@@ -1,31 +1,63 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again."""
+"""The corpus pipeline: documents through five operators, each stage written and read again.
+
+doc_id names a document: of rows that share one, near_dedup keeps one (null counts as one id).
+Null and empty texts are not toxic, are near-duplicates of each other, lose no words, contain no
+benchmark item and have size 0 in the mixture, which leaves them out where their source has no
+words. Stages take empty tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakewright.llm import decontaminate, mixing, simhash, substrings, toxicity
+from lakewright.llm.common import release, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine, fitted on their labels, does not call toxic."""
+    machine = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs.select(COLUMNS), machine)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group of near-duplicates."""
+    found = simhash.near_duplicates(docs)
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.kept_id), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(COLUMNS)
+
 
-from lakewright.llm import decontaminate, mixing
-from lakewright.llm.common import written
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that stand earlier; texts that lose none stay as they are."""
+    cut = substrings.deduplicated(docs).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept")
+    joined = docs.join(cut, docs.doc_id.eqNullSafe(cut.cut_id), "left")
+    text = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    hits = decontaminate.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
+    return decontaminate.without_contained(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents mixed to target weights; repeated ones differ in copy."""
-    return mixing.emitted(docs)
+    return mixing.emitted(docs.select(COLUMNS))
 
 
-STAGES = [("decontamination", decontamination), ("mixing", mix)]
-#: A factorization machine and an index search are no SQL; tests compare with brute force.
+STAGES = [("toxicity", reject_toxic), ("near duplicates", near_dedup), ("substring dedup", substring_dedup), ("decontamination", decontamination), ("mixing", mix)]
+#: A factorization machine is no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        release(spark)
     return docs

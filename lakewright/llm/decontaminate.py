@@ -135,6 +135,23 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, thresho
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
+def without_contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: str = THRESHOLD) -> DataFrame:
+    """The rows of docs, all their columns, that contain no item; they are filtered where they are."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    at = docs.columns.index("text")
+    for block in item_blocks(items, n, Fraction(threshold)):
+        shared = spark.sparkContext.broadcast(block)
+
+        def clean(batches, shared=shared):
+            block = shared.value
+            for batch in batches:
+                yield batch.filter(pa.array([not (text and block.matches(text)) for text in binaries(batch.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 ORACLE = r"""
 WITH iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

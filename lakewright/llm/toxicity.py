@@ -162,6 +162,28 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, held_
     return fit([np.frombuffer(t, np.int32).astype(np.int64) for _, _, t in rows], np.array([float(y > 0) for _, y, _ in rows]))
 
 
+class Scorer:
+    """Scores of texts; the rows of words already seen are kept, up to _CACHE of them."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.cache = machine, {}
+
+    def __call__(self, texts: list[bytes | None]) -> np.ndarray:
+        row, none, rows = self.machine.row, np.zeros(0, np.int64), []
+        for text in texts:
+            found: set[int] = set()
+            for w in set(text.lower().split()) if text else ():
+                got = self.cache.get(w)
+                if got is None:
+                    if len(self.cache) >= _CACHE:
+                        self.cache.clear()
+                    got = self.cache[w] = tuple(r for x in buckets(w) if (r := int(row[x])) >= 0)
+                if got:
+                    found.update(got)
+            rows.append(np.fromiter(sorted(found), np.int64) if found else none)
+        return self.machine.scores(rows)
+
+
 def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted per row of docs (doc_id, text). Null and empty texts get the score of no terms."""
     spark = docs.sparkSession
@@ -169,21 +191,23 @@ def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> D
     shared = spark.sparkContext.broadcast(machine)
 
     def each(batches):
-        m, cache, none = shared.value, {}, np.zeros(0, np.int64)
+        score_of = Scorer(shared.value)
         for b in batches:
-            rows = []
-            for text in binaries(b.column(1)):
-                found: set[int] = set()
-                for w in set(text.lower().split()) if text else ():
-                    got = cache.get(w)
-                    if got is None:
-                        if len(cache) >= _CACHE:
-                            cache.clear()
-                        got = cache[w] = tuple(r for x in buckets(w) if (r := int(m.row[x])) >= 0)
-                    if got:
-                        found.update(got)
-                rows.append(np.fromiter(sorted(found), np.int64) if found else none)
-            score = m.scores(rows)
+            score = score_of(binaries(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all their columns, whose text scores below threshold; they are filtered where they are."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared, at = spark.sparkContext.broadcast(machine), docs.columns.index("text")
+
+    def each(batches):
+        score_of = Scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(score_of(binaries(b.column(at))) < threshold))
+
+    return docs.mapInArrow(each, docs.schema)
