@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, media, mixing, simhash, substrings, toxicity, warc
+from . import chat, decontaminate, kneser_ney, langid, media, mixing, simhash, substrings, toxicity, warc
 from .common import crc_mod, written
 
 
@@ -35,6 +35,11 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.with_media(table(spark, sf_dir, "documents")))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kneser_ney.scored(table(spark, sf_dir, "documents"), ~kneser_ney.held_out())
+    return found.select("doc_id", kneser_ney.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -62,6 +67,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_simhash, op3_langid, op4_webp, op6_substrings, op7_chat, op8_mixing, op9_toxicity, op10_decontaminate)
+    f.__name__: f for f in (op1_warc, op2_simhash, op3_langid, op4_webp, op5_kneser_ney, op6_substrings, op7_chat, op8_mixing, op9_toxicity, op10_decontaminate)
 }
 ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op6_substrings": substrings.ORACLE, "op7_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}

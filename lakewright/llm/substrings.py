@@ -22,7 +22,6 @@ hash. Buckets, shards and ranges hold bounded amounts; their numbers grow with t
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,19 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, gram_hashes, parts_for, release, remove, shuffle_parts, word_hashes, written
+from .common import bound_batches, gram_hashes, release, remove, word_hashes, written
 from .fmindex import earlier_windows
+from .packed import PACKED, bucketed, met, packed, rows, shard, split, unpacked, with_answers
 
 WINDOW, ANCHOR = 20, 6
 #: Windows in a segment at most, and segments of an anchor that is not yet very frequent.
 SEGMENT_WINDOWS, FREQUENT = 60, 4096
-#: Text bytes in a bucket of documents.
-BUCKET_BYTES = 12 << 20
 #: Anchors, and segments, that a task holds before it hands them on.
 FLUSH_ANCHORS, FLUSH_SEGMENTS = 1_000_000, 60_000
 #: The bucket of an anchor that a share of 1/ALL of a flush has: all buckets hear of it.
 ALL, EVERYWHERE = 256, 0xFFFFFFFF
-PACKED = "part int, data binary"
 
 
 def segments(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,36 +64,6 @@ def segments(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
     return cut, n, g[cut], twice
 
 
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    return b"".join(struct.pack("<Q", a.nbytes) + a.tobytes() for a in arrays)
-
-
-def _unpacked(data: bytes, *kinds) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in kinds:
-        (n,) = struct.unpack_from("<Q", data, at)
-        out.append(np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at + 8))
-        at += 8 + n
-    return out
-
-
-def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "data"])
-
-
-def _split(part: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The arrays' elements by part, in their order."""
-    order = np.argsort(part, kind="stable")
-    part, arrays = part[order], [a[order] for a in arrays]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-    for i, j in zip(cuts, [*cuts[1:], len(part)]):
-        yield int(part[i]), [a[i:j] for a in arrays]
-
-
 def _anchor_rows(anchors: list[np.ndarray], buckets: list[np.ndarray], shards: int) -> pa.RecordBatch:
     a, b = np.concatenate(anchors), np.concatenate(buckets)
     once, of, count = np.unique(a, return_inverse=True, return_counts=True)
@@ -106,7 +73,7 @@ def _anchor_rows(anchors: list[np.ndarray], buckets: list[np.ndarray], shards: i
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
     n = np.minimum(np.diff(np.append(new, len(a))), 65535).astype(np.uint16)
     a, b = a[new], b[new]
-    return _rows([(k, _packed(*x)) for k, x in _split(_shard(a, shards), a, b, n)])
+    return rows([(k, packed(*x)) for k, x in split(shard(a, shards), a, b, n)])
 
 
 def _repeated(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
@@ -131,44 +98,22 @@ def _repeated(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
             yield _anchor_rows(anchors, of, shards)
 
     def count(batches):
-        got = [_unpacked(d, np.uint64, np.uint32, np.uint16) for batch in batches for d in batch.column(1).to_pylist()]
+        got = [unpacked(d, np.uint64, np.uint32, np.uint16) for batch in batches for d in batch.column(1).to_pylist()]
         if not got:
             return
         a, b, n = (np.concatenate([g[i] for g in got]) for i in range(3))
         once, of = np.unique(a, return_inverse=True)
         total = np.bincount(of, n.astype(np.float64), len(once))[of]
         a, b, often = a[total > 1], b[total > 1], total[total > 1] > FREQUENT
-        for bucket, (x, f) in _split(b.astype(np.int64), a, often):
+        for bucket, (x, f) in split(b.astype(np.int64), a, often):
             once, first = np.unique(x, return_index=True)
             for k in range(buckets) if bucket == EVERYWHERE else (bucket,):
-                yield _rows([(k, _packed(once, f[first].astype(np.uint8)))])
+                yield rows([(k, packed(once, f[first].astype(np.uint8)))])
 
     anchors = docs.select("part", "text").mapInArrow(emit, PACKED)
     return anchors.repartitionById(shards, F.col("part")).mapInArrow(count, PACKED)
 
 
-def _with_answers(docs: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """Rows (part, kind, doc_id, data) of each bucket: its answers (kind 0), then its documents (kind 1)."""
-    own = docs.select("part", F.lit(1).alias("kind"), "doc_id", F.col("text").alias("data"))
-    other = answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "data")
-    return own.unionAll(other).repartitionById(buckets, F.col("part")).sortWithinPartitions("part", "kind")
-
-
-def _met(batches, kinds) -> Iterator[tuple[int, int | None, bytes | None, list[np.ndarray]]]:
-    """(bucket, doc_id, text, the bucket's answers joined) of each document of ``_with_answers``."""
-    now, got, joined = None, [], None
-    for batch in batches:
-        for part, kind, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if part != now:
-                now, got, joined = part, [], None
-            if kind == 0:
-                got.append(_unpacked(data, *kinds))
-            else:
-                if joined is None:
-                    joined = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, k) for i, k in enumerate(kinds)]
-                yield part, doc_id, data, joined
-
-
 class _Segments:
     """Segments on their way to shards: equal ones once, with the places where they stand."""
 
@@ -185,19 +130,19 @@ class _Segments:
         self.doc.append(doc)
         self.start.append(start)
 
-    def rows(self, bucket: int) -> Iterator[pa.RecordBatch]:
+    def batches(self, bucket: int) -> Iterator[pa.RecordBatch]:
         shard, of = np.array(self.shard, np.int64), np.array(self.of, np.int64)
         doc, start = np.array(self.doc, np.int64), np.array(self.start, np.uint32)
         words = list(self.number)
         local = np.zeros(len(words), np.int64)
         own: dict[int, np.ndarray] = {}
-        for k, (x,) in _split(shard, np.arange(len(words))):
+        for k, (x,) in split(shard, np.arange(len(words))):
             own[k] = x
             local[x] = np.arange(len(x))
-        for k, (o, d, s) in _split(shard[of], of, doc, start):
+        for k, (o, d, s) in split(shard[of], of, doc, start):
             texts = [words[i] for i in own[k].tolist()]
             sizes = np.array([len(t) // 6 for t in texts], np.uint8)
-            yield _rows([(k, _packed(sizes, np.frombuffer(b"".join(texts), np.uint8), local[o].astype(np.uint32), d, s, np.array([bucket], np.uint32)))])
+            yield rows([(k, packed(sizes, np.frombuffer(b"".join(texts), np.uint8), local[o].astype(np.uint32), d, s, np.array([bucket], np.uint32)))])
         self.__init__(self.shards)
 
 
@@ -207,12 +152,12 @@ _NULL = -(1 << 63)
 
 def _emit_segments(batches, shards: int):
     out, last, heard = _Segments(shards), None, None
-    for bucket, doc_id, text, answers in _met(batches, (np.uint64, np.uint8)):
+    for bucket, doc_id, text, answers in met(batches, (np.uint64, np.uint8)):
         if heard is not answers:
             heard, order = answers, np.argsort(answers[0], kind="stable")
             anchors, often = answers[0][order], answers[1][order]
         if last is not None and last != bucket and out.of:
-            yield from out.rows(last)
+            yield from out.batches(last)
         last = bucket
         if not text or not len(anchors):
             continue
@@ -226,19 +171,19 @@ def _emit_segments(batches, shards: int):
             continue
         words = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         raw, doc = np.ascontiguousarray(words).tobytes(), _NULL if doc_id is None else doc_id
-        shard = _shard(a, shards)
+        own_shard = shard(a, shards)
         for i in np.flatnonzero(hit).tolist():
             s, k = int(first[i]), int(n[i])
             if often[at[i]]:
-                own = _shard(gram_hashes(h[s : s + k + WINDOW - 1], WINDOW), shards)
+                own = shard(gram_hashes(h[s : s + k + WINDOW - 1], WINDOW), shards)
                 for j in range(k):
                     out.add(raw[6 * (s + j) : 6 * (s + j + WINDOW)], int(own[j]), doc, s + j)
             else:
-                out.add(raw[6 * s : 6 * (s + k + WINDOW - 1)], int(shard[i]), doc, s)
+                out.add(raw[6 * s : 6 * (s + k + WINDOW - 1)], int(own_shard[i]), doc, s)
         if len(out.of) >= FLUSH_SEGMENTS:
-            yield from out.rows(bucket)
+            yield from out.batches(bucket)
     if out.of:
-        yield from out.rows(last)
+        yield from out.batches(last)
 
 
 def _search_shard(batches):
@@ -247,7 +192,7 @@ def _search_shard(batches):
     of, doc, start, bucket = [], [], [], []
     for batch in batches:
         for data in batch.column(1).to_pylist():
-            sizes, words, o, d, s, b = _unpacked(data, np.uint8, np.uint8, np.uint32, np.int64, np.uint32, np.uint32)
+            sizes, words, o, d, s, b = unpacked(data, np.uint8, np.uint8, np.uint32, np.int64, np.uint32, np.uint32)
             raw, ends = words.tobytes(), np.cumsum(sizes.astype(np.int64)) * 6
             ids = np.fromiter((number.setdefault(raw[i:j], len(number)) for i, j in zip((ends - sizes.astype(np.int64) * 6).tolist(), ends.tolist())), np.int64, len(sizes))
             of.append(ids[o])
@@ -281,8 +226,8 @@ def _search_shard(batches):
     first = (doc == doc[lead][of]) & (start == start[lead][of])
     mask = np.where(first, at_first[of], every[of])
     some = mask > 0
-    for k, arrays in _split(bucket[some], doc[some], start[some], mask[some]):
-        yield _rows([(k, _packed(*arrays))])
+    for k, arrays in split(bucket[some], doc[some], start[some], mask[some]):
+        yield rows([(k, packed(*arrays))])
 
 
 def covered(n: int, starts: np.ndarray, masks: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -306,14 +251,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_parts(spark), parts_for(total, BUCKET_BYTES))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    rows = docs.select(part.alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-    repeated = written(_repeated(rows, buckets, buckets), "substring-anchors")
+    own, buckets = bucketed(docs)
+    repeated = written(_repeated(own, buckets, buckets), "substring-anchors")
     release(spark)
     shards = 2 * buckets
-    sent = _with_answers(rows, repeated, buckets).mapInArrow(lambda b: _emit_segments(b, shards), PACKED)
+    sent = with_answers(own, [repeated], buckets).mapInArrow(lambda b: _emit_segments(b, shards), PACKED)
     reports = written(sent.repartitionById(shards, F.col("part")).mapInArrow(_search_shard, PACKED), "substring-reports")
     remove(spark, repeated)
     release(spark)
@@ -322,7 +264,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         held, size = [], 0
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
         now, order, of = None, None, None
-        for bucket, doc_id, text, (doc, start, mask) in _met(batches, (np.int64, np.uint32, np.uint64)):
+        for bucket, doc_id, text, (doc, start, mask) in met(batches, (np.int64, np.uint32, np.uint64)):
             if now is not doc:
                 now, order = doc, np.argsort(doc, kind="stable")
                 of = doc[order]
@@ -341,7 +283,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
-    kept = _with_answers(rows, reports, buckets).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+    kept = with_answers(own, [reports], buckets).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
     return kept.withColumn("kept", F.col("kept").cast("string"))
 
 
