@@ -49,8 +49,25 @@ class Lattice:
     sizes: np.ndarray
 
 
+_TABLES: dict[int, tuple[dict, dict]] = {}
+
+
+def _prefixes(ids: dict[str, int]) -> dict[str, int]:
+    """Every beginning of a piece, with the piece's id, or -1 where it is only a beginning; kept for each vocabulary."""
+    kept = _TABLES.get(id(ids))
+    if kept is None or kept[0] is not ids:
+        table: dict[str, int] = {}
+        for p in ids:
+            for n in range(1, len(p)):
+                table.setdefault(p[:n], -1)
+        _TABLES.clear()
+        kept = _TABLES[id(ids)] = ids, table | ids
+    return kept[1]
+
+
 def lattice(words: list[str], ids: dict[str, int], longest: int) -> Lattice:
     word, start, end, piece, sizes = [], [], [], [], []
+    table = _prefixes(ids)
     for k, w in enumerate(words):
         w = "▁" + w
         n = len(w)
@@ -59,7 +76,9 @@ def lattice(words: list[str], ids: dict[str, int], longest: int) -> Lattice:
             one = ids.get(w[i], 0)
             word.append(k), start.append(i), end.append(i + 1), piece.append(one)
             for j in range(i + 2, min(n, i + longest) + 1):
-                if (got := ids.get(w[i:j])) is not None:
+                if (got := table.get(w[i:j])) is None:
+                    break  # nothing longer begins like this
+                if got >= 0:
                     word.append(k), start.append(i), end.append(j), piece.append(got)
     a = [np.array(x, np.int64) for x in (word, start, end, piece)]
     order = np.argsort(a[2], kind="stable")
