@@ -8,6 +8,7 @@ ANCHOR words in it; equal windows have equal anchors, and neighbouring windows m
 and form a segment. Four passes:
 
 1. Anchors are counted, and each bucket of documents hears which of its anchors occur twice or more.
+   The few anchors that a share of all documents has are found beforehand and told to all.
 2. Documents meet those answers; segments with repeated anchors go to the anchor's shard, equal
    segments of a bucket once. Segments of very frequent anchors go window by window to the shard
    of the window's own hash, so no anchor makes a shard large.
@@ -38,8 +39,9 @@ WINDOW, ANCHOR = 20, 6
 SEGMENT_WINDOWS, FREQUENT = 60, 4096
 #: Anchors, and segments, that a task holds before it hands them on.
 FLUSH_ANCHORS, FLUSH_SEGMENTS = 1_000_000, 60_000
-#: The bucket of an anchor that a share of 1/ALL of a flush has: all buckets hear of it.
-ALL, EVERYWHERE = 256, 0xFFFFFFFF
+#: Of one document in so many, anchors are counted to find heavy ones: those with at least HEAVY_LEAST
+#: and a share of 1/HEAVY of the count. So there are HEAVY of them at most. It only decides how they travel.
+SAMPLE, HEAVY, HEAVY_LEAST = 64, 4096, 16
 
 
 def segments(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,8 +68,6 @@ def segments(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
 
 def _anchor_rows(anchors: list[np.ndarray], buckets: list[np.ndarray], shards: int) -> pa.RecordBatch:
     a, b = np.concatenate(anchors), np.concatenate(buckets)
-    once, of, count = np.unique(a, return_inverse=True, return_counts=True)
-    b = np.where(count[of] >= max(64, len(a) // ALL), EVERYWHERE, b).astype(np.uint32)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -76,8 +76,33 @@ def _anchor_rows(anchors: list[np.ndarray], buckets: list[np.ndarray], shards: i
     return rows([(k, packed(*x)) for k, x in split(shard(a, shards), a, b, n)])
 
 
-def _repeated(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
-    """Pass 1: rows (part: bucket, data: its repeated anchors, and which are very frequent)."""
+def _heavy(docs: DataFrame) -> np.ndarray:
+    """Anchors of a share of all segments, at most HEAVY, ascending; they need no counting and would crowd a shard."""
+
+    def each(batches):
+        found: list[np.ndarray] = []
+        for batch in batches:
+            found += [segments(word_hashes(text.split()))[2] for text in batch.column(0).to_pylist() if text]
+        if found:
+            once, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(each, "anchor long, n long")
+    counted = written(sample.groupBy("anchor").agg(F.sum("n").alias("n")), "substring-heavy")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    top = counted.filter((F.col("n") >= HEAVY_LEAST) & (F.col("n") * HEAVY >= total)).select("anchor").collect()
+    remove(docs.sparkSession, counted)
+    return np.sort(np.array([r.anchor for r in top], np.int64).view(np.uint64))
+
+
+def _member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def _repeated(docs: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
+    """Pass 1: rows (part: bucket, data: its repeated anchors, and which are very frequent). Heavy anchors are left out: all know them."""
 
     def emit(batches):
         anchors, of, held = [], [], 0
@@ -88,6 +113,7 @@ def _repeated(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
                 _, _, a, twice = segments(word_hashes(text.split()))
                 if len(a):
                     a = np.concatenate([a, a[twice]])
+                    a = a[~_member(heavy, a)]
                     anchors.append(a)
                     of.append(np.full(len(a), bucket, np.uint32))
                     held += len(a)
@@ -107,8 +133,7 @@ def _repeated(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
         a, b, often = a[total > 1], b[total > 1], total[total > 1] > FREQUENT
         for bucket, (x, f) in split(b.astype(np.int64), a, often):
             once, first = np.unique(x, return_index=True)
-            for k in range(buckets) if bucket == EVERYWHERE else (bucket,):
-                yield rows([(k, packed(once, f[first].astype(np.uint8)))])
+            yield rows([(bucket, packed(once, f[first].astype(np.uint8)))])
 
     anchors = docs.select("part", "text").mapInArrow(emit, PACKED)
     return anchors.repartitionById(shards, F.col("part")).mapInArrow(count, PACKED)
@@ -150,7 +175,7 @@ class _Segments:
 _NULL = -(1 << 63)
 
 
-def _emit_segments(batches, shards: int):
+def _emit_segments(batches, shards: int, heavy: np.ndarray):
     out, last, heard = _Segments(shards), None, None
     for bucket, doc_id, text, answers in met(batches, (np.uint64, np.uint8)):
         if heard is not answers:
@@ -159,22 +184,23 @@ def _emit_segments(batches, shards: int):
         if last is not None and last != bucket and out.of:
             yield from out.batches(last)
         last = bucket
-        if not text or not len(anchors):
+        if not text:
             continue
         h = word_hashes(text.split())
         first, n, a, _ = segments(h)
-        if not len(a):
-            continue
-        at = np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)
-        hit = anchors[at] == a
+        known = _member(heavy, a)
+        hit = known | _member(anchors, a)
         if not hit.any():
             continue
+        frequent = known.copy()
+        if len(anchors):
+            frequent |= _member(anchors, a) & (often[np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)] > 0)
         words = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         raw, doc = np.ascontiguousarray(words).tobytes(), _NULL if doc_id is None else doc_id
         own_shard = shard(a, shards)
         for i in np.flatnonzero(hit).tolist():
             s, k = int(first[i]), int(n[i])
-            if often[at[i]]:
+            if frequent[i]:
                 own = shard(gram_hashes(h[s : s + k + WINDOW - 1], WINDOW), shards)
                 for j in range(k):
                     out.add(raw[6 * (s + j) : 6 * (s + j + WINDOW)], int(own[j]), doc, s + j)
@@ -252,10 +278,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     own, buckets = bucketed(docs)
-    repeated = written(_repeated(own, buckets, buckets), "substring-anchors")
+    heavy = _heavy(own)
+    repeated = written(_repeated(own, buckets, heavy), "substring-anchors")
     release(spark)
     shards = 2 * buckets
-    sent = with_answers(own, [repeated], buckets).mapInArrow(lambda b: _emit_segments(b, shards), PACKED)
+    sent = with_answers(own, [repeated], buckets).mapInArrow(lambda b: _emit_segments(b, shards, heavy), PACKED)
     reports = written(sent.repartitionById(shards, F.col("part")).mapInArrow(_search_shard, PACKED), "substring-reports")
     remove(spark, repeated)
     release(spark)

@@ -92,9 +92,11 @@ def documents():
     return docs
 
 
-@pytest.mark.parametrize("frequent", [4096, 2])
-def test_against_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent,heavy", [(4096, 16), (2, 16), (4096, 1)])
+def test_against_brute_force(spark, monkeypatch, frequent, heavy):
     monkeypatch.setattr(substrings, "FREQUENT", frequent)
+    monkeypatch.setattr(substrings, "HEAVY_LEAST", heavy)
+    monkeypatch.setattr(substrings, "SAMPLE", 64 // heavy if heavy > 1 else 1)
     docs = documents()
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, part int")
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.deduplicated(df).collect()), key=str)
