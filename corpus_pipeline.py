@@ -25,14 +25,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near-duplicates."""
+    docs = docs.select(COLUMNS)
     found = simhash.near_duplicates(docs)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.kept_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(COLUMNS)
+    return kept.dropDuplicates(["doc_id"])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that stand earlier; texts that lose none stay as they are."""
+    docs = docs.select(COLUMNS)
     cut = substrings.deduplicated(docs).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept")
     joined = docs.join(cut, docs.doc_id.eqNullSafe(cut.cut_id), "left")
     text = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("text"))

@@ -74,10 +74,11 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_COP
 def emitted(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: docs' rows, each as often as ``mixed`` says, with a column copy (from 0).
 
-    doc_id must be unique and not null here.
+    doc_id must be unique here; one may be null. A column of docs with the name copy is replaced.
     """
-    chosen = mixed(docs, **options).filter("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
-    return docs.join(chosen, "doc_id")
+    chosen = mixed(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
+    docs = docs.drop("copy")
+    return docs.join(chosen, docs.doc_id.eqNullSafe(chosen["__id"])).drop("__id")
 
 
 ORACLE = f"""

@@ -53,6 +53,16 @@ def test_empty_tables(spark, sf_dir):
     assert docs.count() == 0
 
 
+def test_clashing_columns_and_null_ids(spark, sf_dir):
+    docs = spark.createDataFrame([(None, "w " * 40, "en", "s", 80, "k"), (1, "some words here " * 9, "en", "s", 5, "k")], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    for name in ("cut_id", "kept_id", "copy", "fp", "part", "size"):
+        docs = docs.withColumn(name, F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == corpus_pipeline.COLUMNS and out.count() == 2
+    assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, sf_dir).collect()} == {None, 1}
+
+
 def test_run_twice_gives_the_same(spark, sf_dir):
     first, second = (sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) for _ in range(2))
     assert first == second and first
