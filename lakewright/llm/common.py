@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from ..shipping import ship
+
 #: The word pattern, for Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch: bounds a Python worker's memory when texts are long.
@@ -30,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers Spark's rows in an Arrow batch to BATCH_ROWS, if it is higher."""
+    """Lowers Spark's rows in an Arrow batch to BATCH_ROWS, if it is higher, and sees that workers find this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

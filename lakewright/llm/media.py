@@ -63,6 +63,7 @@ def with_pixels(media: DataFrame) -> DataFrame:
     def each(batches):
         yield from _batches((row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), schema, lambda r: len(r[5]))
 
+    bound_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(each, "doc_id long, n_bytes long, media binary, width int, height int, pixels binary")
 
 
@@ -88,4 +89,5 @@ def digests(media: DataFrame) -> DataFrame:
         yield from _batches((row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), schema, lambda r: 0)
 
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    bound_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(each, out)
