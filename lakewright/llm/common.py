@@ -60,11 +60,14 @@ def remove(spark: SparkSession, df_or_path) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the context cleaner delete the shuffle files of plans that are no longer referenced."""
+    """Lets the context cleaner delete the shuffle files of plans that are no longer referenced, and gives it a moment."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees what holds the plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -56,6 +56,18 @@ def ascending(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts, few of them large, as bytes, and those of 255 and more beside them."""
+    n = np.minimum(n, 0xFFFFFFFF)
+    return np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype(np.uint32)
+
+
+def large(low: np.ndarray, more: np.ndarray) -> np.ndarray:
+    out = low.astype(np.uint64)
+    out[low == 255] = more
+    return out
+
+
 def in_memory_map(array: np.ndarray) -> np.ndarray:
     """The array in a file mapped into memory; the file has no name any more, so nothing is left behind."""
     if not len(array):
@@ -119,10 +131,17 @@ def _buckets(batches, kinds: list[tuple]) -> Iterator[tuple[int, Bucket, list]]:
         yield now, whole(docs), got
 
 
-def _in_order(answers: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """The shards' answers, each beginning with the shard's number, one after the other in order of it."""
+def _pairs_of(answers: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(count, whether it is owned) of a bucket's bigrams, from the shards' answers in order of the shard's number."""
+    answers = sorted(answers, key=lambda a: int(a[0][0]))
+    own = [np.unpackbits(bits)[: len(low)].astype(bool) for _, low, _, bits in answers]
+    return np.concatenate([large(low, more) for _, low, more, _ in answers]), np.concatenate(own)
+
+
+def _stats_of(answers: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The numbers of a bucket's words, likewise."""
     answers = sorted(answers, key=lambda a: int(a[0][0]))
-    return [np.concatenate([a[i] for a in answers]) for i in range(1, len(answers[0]))]
+    return [np.concatenate([large(a[1 + 2 * i], a[2 + 2 * i]) for a in answers]) for i in range(WORD_STATS)]
 
 
 def _count_of_counts(n: np.ndarray) -> np.ndarray:
@@ -133,7 +152,7 @@ def _ask_bigrams(batches, shards: int):
     for bucket, docs, _ in _buckets(batches, []):
         once, _, n = docs.distinct(docs.bigrams())
         for k, (h, c) in split(shard(once, shards), once, n):
-            yield rows([(k, packed(np.array([bucket], np.uint32), deltas(h), c))])
+            yield rows([(k, packed(np.array([bucket], np.uint32), deltas(h), *small(c)))])
 
 
 def _answer_bigrams(batches):
@@ -144,8 +163,8 @@ def _answer_bigrams(batches):
                 yield from _answers_of(number, asked)
                 asked = []
             number = part
-            bucket, planes, n = unpacked(data, np.uint32, np.uint8, np.uint32)
-            asked.append((int(bucket[0]), ascending(planes), n))
+            bucket, planes, *n = unpacked(data, np.uint32, np.uint8, np.uint8, np.uint32)
+            asked.append((int(bucket[0]), ascending(planes), large(*n)))
     if asked:
         yield from _answers_of(number, asked)
 
@@ -170,15 +189,15 @@ def _answers_of(number: int, asked: list):
         c[hit] = np.minimum(counts[place[hit]], 0xFFFFFFFF)
         own = owner[at[start : start + len(h)]] == i
         start += len(h)
-        yield rows([(bucket, packed(np.array([number], np.uint32), c, own))])
+        yield rows([(bucket, packed(np.array([number], np.uint32), *small(c), np.packbits(own)))])
 
 
-BIGRAM_ANSWER = (np.uint32, np.uint32, np.bool_)
+BIGRAM_ANSWER = (np.uint32, np.uint8, np.uint32, np.uint8)
 
 
 def _ask_words(batches, shards: int):
     for bucket, docs, (bigrams,) in _buckets(batches, [BIGRAM_ANSWER]):
-        count, own = _in_order(bigrams)
+        count, own = _pairs_of(bigrams)
         _, first, at = np.unique(docs.bigrams(), return_index=True, return_inverse=True)
         words, of = np.unique(np.concatenate([docs.tokens, [START]]), return_inverse=True)
         stats = np.zeros((WORD_STATS, len(words)), np.uint64)
@@ -190,7 +209,7 @@ def _ask_words(batches, shards: int):
             stats[row] = np.bincount(before[those], minlength=len(words))
         stats[5] = np.bincount(after, minlength=len(words))
         for k, got in split(shard(words, shards), words, *stats):
-            yield rows([(k, packed(np.array([bucket], np.uint32), deltas(got[0]), *(np.minimum(g, 0xFFFFFFFF).astype(np.uint32) for g in got[1:])))])
+            yield rows([(k, packed(np.array([bucket], np.uint32), deltas(got[0]), *(x for g in got[1:] for x in small(g))))])
 
 
 def _answer_words(batches):
@@ -203,7 +222,7 @@ def _answer_words(batches):
         model, sums = in_memory_map(model), [in_memory_map(s) for s in sums]
         for bucket, h, _ in asked:
             place = np.searchsorted(model, h)
-            yield rows([(bucket, packed(np.array([number], np.uint32), *(np.asarray(s[place]) for s in sums)))])
+            yield rows([(bucket, packed(np.array([number], np.uint32), *(x for s in sums for x in small(np.asarray(s[place])))))])
 
     asked, number = [], None
     for batch in batches:
@@ -212,13 +231,13 @@ def _answer_words(batches):
                 yield from answers(number, asked)
                 asked = []
             number = part
-            bucket, planes, *stats = unpacked(data, np.uint32, np.uint8, *[np.uint32] * WORD_STATS)
-            asked.append((int(bucket[0]), ascending(planes), stats))
+            bucket, planes, *stats = unpacked(data, np.uint32, np.uint8, *[np.uint8, np.uint32] * WORD_STATS)
+            asked.append((int(bucket[0]), ascending(planes), [large(*stats[i : i + 2]) for i in range(0, 2 * WORD_STATS, 2)]))
     if asked:
         yield from answers(number, asked)
 
 
-WORD_ANSWER = (np.uint32, *[np.uint64] * WORD_STATS)
+WORD_ANSWER = (np.uint32, *[np.uint8, np.uint32] * WORD_STATS)
 
 
 @dataclass
@@ -305,8 +324,8 @@ def scored(docs: DataFrame, training) -> DataFrame:
 
     def score(batches):
         for _, b, (pairs, stats) in _buckets(batches, [BIGRAM_ANSWER, WORD_ANSWER]):
-            count, _ = _in_order(pairs)
-            n, total, once, twice, often, contexts = (x.astype(np.float64) for x in _in_order(stats))
+            count, _ = _pairs_of(pairs)
+            n, total, once, twice, often, contexts = (x.astype(np.float64) for x in _stats_of(stats))
             _, pair = np.unique(b.bigrams(), return_inverse=True)
             known, at = np.unique(np.concatenate([b.tokens, [START]]), return_inverse=True)
             word, before = at[:-1], np.searchsorted(known, b.before())
