@@ -49,40 +49,68 @@ class Lattice:
     sizes: np.ndarray
 
 
-_TABLES: dict[int, tuple[dict, dict]] = {}
+@dataclass
+class Trie:
+    """Beginnings of pieces as nodes: next node by (node, character), and the piece that ends at a node or -1."""
+
+    keys: np.ndarray
+    targets: np.ndarray
+    piece: np.ndarray
+
+    def step(self, node: np.ndarray, character: np.ndarray) -> np.ndarray:
+        """The next nodes, -1 where no piece goes on like this. Node 0 is the root."""
+        key = (node << 21) | character
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], -1)
+
+
+_TRIES: dict[int, tuple[dict, Trie]] = {}
 
 
-def _prefixes(ids: dict[str, int]) -> dict[str, int]:
-    """Every beginning of a piece, with the piece's id, or -1 where it is only a beginning; kept for each vocabulary."""
-    kept = _TABLES.get(id(ids))
+def _trie(ids: dict[str, int]) -> Trie:
+    kept = _TRIES.get(id(ids))
     if kept is None or kept[0] is not ids:
-        table: dict[str, int] = {}
+        nodes, edges = {"": 0}, {}
         for p in ids:
-            for n in range(1, len(p)):
-                table.setdefault(p[:n], -1)
-        _TABLES.clear()
-        kept = _TABLES[id(ids)] = ids, table | ids
+            for n in range(1, len(p) + 1):
+                if p[:n] not in nodes:
+                    nodes[p[:n]] = len(nodes)
+                    edges[nodes[p[: n - 1]] << 21 | ord(p[n - 1])] = nodes[p[:n]]
+        piece = np.full(len(nodes), -1, np.int64)
+        for p, i in ids.items():
+            piece[nodes[p]] = i
+        keys = np.array(sorted(edges), np.int64)
+        _TRIES.clear()
+        kept = _TRIES[id(ids)] = ids, Trie(keys, np.array([edges[k] for k in keys.tolist()], np.int64), piece)
     return kept[1]
 
 
 def lattice(words: list[str], ids: dict[str, int], longest: int) -> Lattice:
-    word, start, end, piece, sizes = [], [], [], [], []
-    table = _prefixes(ids)
-    for k, w in enumerate(words):
-        w = "▁" + w
-        n = len(w)
-        sizes.append(n)
-        for i in range(n):
-            one = ids.get(w[i], 0)
-            word.append(k), start.append(i), end.append(i + 1), piece.append(one)
-            for j in range(i + 2, min(n, i + longest) + 1):
-                if (got := table.get(w[i:j])) is None:
-                    break  # nothing longer begins like this
-                if got >= 0:
-                    word.append(k), start.append(i), end.append(j), piece.append(got)
-    a = [np.array(x, np.int64) for x in (word, start, end, piece)]
-    order = np.argsort(a[2], kind="stable")
-    return Lattice(*(x[order] for x in a), np.array(sizes, np.int64))
+    """Every position walks down the trie at once, a character at a time, and most stop soon."""
+    trie, sizes = _trie(ids), np.fromiter(map(len, words), np.int64, len(words)) + 1
+    codes = np.frombuffer("".join(["\u2581" + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    pos = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = sizes[word] - pos
+    node = trie.step(np.zeros(len(codes), np.int64), codes)
+    parts = [(word, pos, pos + 1, np.maximum(np.where(node >= 0, trie.piece[node], 0), 0))]
+    active = np.flatnonzero(node >= 0)
+    node = node[active]
+    for n in range(2, longest + 1):
+        inside = left[active] >= n
+        active, node = active[inside], node[inside]
+        if not len(active):
+            break
+        node = trie.step(node, codes[active + n - 1])
+        on = node >= 0
+        active, node = active[on], node[on]
+        piece = trie.piece[node]
+        whole = piece >= 0
+        at = active[whole]
+        parts.append((word[at], pos[at], pos[at] + n, piece[whole]))
+    word, start, end, piece = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(end, kind="stable")
+    return Lattice(word[order], start[order], end[order], piece[order], sizes)
 
 
 def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
