@@ -1,6 +1,7 @@
 """The corpus pipeline: documents through five operators, each stage written and read again.
 
-doc_id names a document: of rows that share one, near_dedup keeps one (null counts as one id).
+Each row is a document. Rows that share a doc_id, or have none, stay apart: stages that look at
+more than one row number the rows as they read them, and join by that number.
 Null and empty texts are not toxic, are near-duplicates of each other, lose no words, contain no
 benchmark item and have size 0 in the mixture, which leaves them out where their source has no
 words. Stages take empty tables.
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm import decontaminate, mixing, simhash, substrings, toxicity
-from lakewright.llm.common import release, written
+from lakewright.llm.common import numbered, release, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,19 +25,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates."""
-    docs = docs.select(COLUMNS)
-    found = simhash.near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.kept_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates: that with the least doc_id (null: the last), then the least hash of its columns."""
+    docs = numbered(docs.select(COLUMNS), "row", F.col("doc_id").asc_nulls_last(), "pipeline-rows")
+    found = simhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"))
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("row"))
+    return docs.join(keep, "row", "left_semi").select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that stand earlier; texts that lose none stay as they are."""
-    docs = docs.select(COLUMNS)
-    cut = substrings.deduplicated(docs).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept")
-    joined = docs.join(cut, docs.doc_id.eqNullSafe(cut.cut_id), "left")
+    """Documents without the words of passages that stand earlier (null ids first); texts that lose none stay as they are."""
+    docs = numbered(docs.select(COLUMNS), "row", F.col("doc_id").asc_nulls_first(), "pipeline-rows")
+    cut = substrings.deduplicated(docs.select(F.col("row").alias("doc_id"), "text")).filter("n_removed > 0").select(F.col("doc_id").alias("row"), "kept")
+    joined = docs.join(cut, "row", "left")
     text = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("text"))
     n_chars = F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
     return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))

@@ -50,6 +50,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, order: Column, label: str) -> DataFrame:
+    """df, written, with a column name: each row's own number, ascending in the given order.
+
+    Rows equal in it stand by a hash of all columns, so numbers follow from what rows hold; rows
+    equal in all columns are interchangeable.
+    """
+    by = [order, F.col("__hash")]
+    ranged = df.withColumn("__hash", F.xxhash64(*df.columns)).repartitionByRange(*by).sortWithinPartitions(*by)
+    out = written(ranged.drop("__hash").withColumn(name, F.monotonically_increasing_id()), label)
+    release(df.sparkSession)
+    return out
+
+
 def remove(spark: SparkSession, df_or_path) -> None:
     """Deletes what ``written`` made, when no later read needs it."""
     paths = [df_or_path] if isinstance(df_or_path, str) else {p.rpartition("/")[0] for p in df_or_path.inputFiles()}

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sums
+from .common import WORD, numbered, prefix_sums
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -48,18 +48,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     return filled.select("skey", "source_size", "weight", target.alias("target"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_COPIES, seed: str = SEED, key: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per row of docs (doc_id, text, source).
 
     size: words of the text (null or empty: 0). A null source is a source of its own, after all
     others. Sources without words get target 0 and no copies. Rows with equal doc_id are separate
     documents, interchangeable in the order; a null doc_id orders as the text "null". No rows give
-    no rows. Offsets come from a hash of seed and source, so reruns agree.
+    no rows. Offsets come from a hash of seed and source, so reruns agree. Columns of docs in key,
+    without nulls, order rows with equal doc_id and stay beside the others.
     """
-    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *key)
     slim = slim.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit(NO_SOURCE)))
     slim = slim.withColumn("one", F.lit(1).cast("long")).withColumn("tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    ranked = prefix_sums(slim, ["skey"], ["size", "tie"], {"before": "one"}, "mix")
+    ranked = prefix_sums(slim, ["skey"], ["size", "tie", *key], {"before": "one"}, "mix")
     targets = source_targets(slim.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, cap)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "skey")), 1, 5), 16, 10).cast("double") / F.lit(1048576.0)
     targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", offset)
@@ -67,18 +68,19 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_COP
     return (
         ranked.join(targets, "skey")
         .withColumn("copies", crossed(F.col("before") + 1) - crossed(F.col("before")))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *key)
     )
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: docs' rows, each as often as ``mixed`` says, with a column copy (from 0).
 
-    doc_id must be unique here; one may be null. A column of docs with the name copy is replaced.
+    Rows with equal or null doc_id are documents of their own: each has a number here. A column of
+    docs with the name copy is replaced.
     """
-    chosen = mixed(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
-    docs = docs.drop("copy")
-    return docs.join(chosen, docs.doc_id.eqNullSafe(chosen["__id"])).drop("__id")
+    docs = numbered(docs.drop("copy"), "__row", F.col("doc_id").asc_nulls_first(), "mix-rows")
+    chosen = mixed(docs, **options, key=["__row"]).filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
+    return docs.join(chosen, "__row").drop("__row")
 
 
 ORACLE = f"""

@@ -66,3 +66,23 @@ def test_clashing_columns_and_null_ids(spark, sf_dir):
 def test_run_twice_gives_the_same(spark, sf_dir):
     first, second = (sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) for _ in range(2))
     assert first == second and first
+
+
+def test_rows_that_share_an_id_stay_apart(spark, sf_dir):
+    text = lambda k, n=60: " ".join(f"t{k}w{j}" for j in range(n))
+    shared = " ".join(f"s{j}" for j in range(30))
+    texts = [(None, text(0)), (None, text(1)), (None, text(2) + " " + shared), (7, text(3)), (7, text(4)), (7, text(5) + " " + shared), (8, text(3)), (None, text(4)), (9, text(6)), (9, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t)) for k, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    distinct = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    want = [*texts[:6], texts[8]]  # the least id of each group of copies, and every text without one
+    assert pairs(distinct) == sorted(want, key=str)
+    cut = corpus_pipeline.substring_dedup(spark, docs.limit(6), sf_dir)
+    assert pairs(cut) == sorted([*texts[:5], (7, text(5))], key=str)
+    left = corpus_pipeline.decontamination(spark, cut, sf_dir)
+    mixed = corpus_pipeline.mix(spark, left, sf_dir).collect()
+    assert len({(r.doc_id, r.text, r.copy) for r in mixed}) == len(mixed) and {(r.doc_id, r.text) for r in mixed} <= set(pairs(left))
+    size = {r.text: 0 for r in mixed}
+    for r in mixed:
+        size[r.text] += 1
+    assert max(size.values()) <= 3 and sum(r.doc_id is None for r in mixed)
