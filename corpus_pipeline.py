@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm import decontaminate, mixing, simhash, substrings, toxicity
-from lakewright.llm.common import numbered, release, written
+from lakewright.llm.common import numbered, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,5 +61,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-        release(spark)
     return docs
