@@ -23,9 +23,12 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one machine
+    may use its own folder; a cluster has none that all share, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -44,8 +47,10 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: the lineage ends here and lost executors cost nothing."""
+    """df as a Parquet table in the shared folder, read again: the lineage ends here and lost executors
+    cost nothing. Shuffle files go when the write ends (a setting of the session, on from here)."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,9 +63,7 @@ def numbered(df: DataFrame, name: str, order: Column, label: str) -> DataFrame:
     """
     by = [order, F.col("__hash")]
     ranged = df.withColumn("__hash", F.xxhash64(*df.columns)).repartitionByRange(*by).sortWithinPartitions(*by)
-    out = written(ranged.drop("__hash").withColumn(name, F.monotonically_increasing_id()), label)
-    release(df.sparkSession)
-    return out
+    return written(ranged.drop("__hash").withColumn(name, F.monotonically_increasing_id()), label)
 
 
 def remove(spark: SparkSession, df_or_path) -> None:
@@ -72,17 +75,6 @@ def remove(spark: SparkSession, df_or_path) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the context cleaner delete the shuffle files of plans that are no longer referenced, and gives it a moment."""
-    import gc
-    import time
-
-    for _ in range(2):  # the first round frees what holds the plans
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

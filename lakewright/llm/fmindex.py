@@ -1,24 +1,37 @@
-"""A compressed FM-index over integer sequences: a suffix array's BWT in a wavelet matrix, searched backwards for many patterns at once."""
+"""A compressed FM-index over integer sequences: the BWT in a wavelet matrix, searched backwards for many patterns at once.
+
+Once it is built it holds no suffix array: the wavelet matrix (a bit a level for each symbol and a
+count for each 64 of them) and the suffix ranges of the repeated windows.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of symbols (non-negative; the last must be unique), by prefix doubling."""
+def suffix_array(symbols: np.ndarray, keep: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the suffixes, rank of each by its first ``keep`` symbols), by prefix doubling.
+
+    symbols are non-negative and the last is unique; keep is a power of two. Only suffixes that
+    are not yet told apart are sorted again.
+    """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    order, h = np.argsort(rank, kind="stable"), 1
+    order = np.argsort(symbols, kind="stable").astype(np.int32)
+    slots, rank, kept, h = np.arange(n, dtype=np.int32), np.empty(n, np.int32), None, 1
+    key = symbols[order]
     while True:
-        if len(order) == 0 or rank.max() == n - 1:
-            return order
-        key = rank * (n + 1)
-        key[: n - h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        new = np.ones(len(slots), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        rank[order[slots]] = np.maximum.accumulate(np.where(new, slots, 0))
+        slots = slots[~(new & np.append(new[1:], True))]
+        if h == keep:
+            kept = rank.copy()
+        if not len(slots):
+            return order, rank if kept is None else kept
+        at = order[slots]
+        key = rank[at].astype(np.int64) * n + rank[at + h]
+        by = np.argsort(key, kind="stable")
+        key, order[slots] = key[by], at[by]
         h *= 2
 
 
@@ -36,7 +49,6 @@ class WaveletMatrix:
             self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]).astype(np.int32))
             self.zeros.append(int(len(bit) - np.count_nonzero(bit)))
             now = np.concatenate([now[~bit], now[bit]])
-        self.first: np.ndarray | None = None
 
     def mapped(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Where positions go when the sequence is sorted by symbol, down all levels, for these symbols."""
@@ -51,70 +63,70 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """symbols: 0 separates and ends sequences and is never searched; others are 1 to size - 1."""
+    """symbols: 0 separates and ends sequences and is never searched; others are 1 to size - 1.
+
+    low and high are the suffix ranges of the patterns of ``window`` symbols that stand more than
+    once: they cut a longer pattern to its first ``window`` symbols.
+    """
 
-    def __init__(self, symbols: np.ndarray, size: int):
-        n = len(symbols)
+    def __init__(self, symbols: np.ndarray, size: int, window: int):
         ends = np.flatnonzero(symbols == 0)
-        apart = symbols.astype(np.int64) + len(ends)
+        apart = symbols + np.int32(len(ends))
         apart[ends] = np.arange(len(ends))  # separators differ, so that no comparison goes past one
-        self.sa = suffix_array(apart).astype(np.int32)
-        self.matrix = WaveletMatrix(symbols[self.sa - 1], max(1, (size - 1).bit_length()))
+        h = 1 << (window.bit_length() - 1)
+        order, rank = suffix_array(apart, h)
+        del apart
+        self.n = len(symbols)
+        # Windows are equal where their first h and their last h symbols are.
+        first, last = rank[order], rank[np.minimum(order + np.int32(window - h), self.n - 1)]
+        new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (last[1:] != last[:-1])))
+        after = np.append(new[1:], self.n)
+        many = after - new > 1
+        self.low, self.high = new[many].astype(np.int32), after[many].astype(np.int32)
+        del first, last, rank, new, after
+        self.matrix = WaveletMatrix(symbols[order - 1], max(1, (size - 1).bit_length()))
         of = np.arange(size)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))[:-1]]) - self.matrix.mapped(np.zeros(size, np.int64), of)
-        self.n, self.least = n, [self.sa]
-        while 2 ** len(self.least) <= n:
-            last, half = self.least[-1], 2 ** (len(self.least) - 1)
-            self.least.append(np.minimum(last[:-half], last[half:]))
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix ranges of the patterns with a symbol put before each."""
         both = self.matrix.mapped(np.concatenate([lo, hi]), np.concatenate([symbols, symbols])) + np.concatenate([self.starts[symbols]] * 2)
         return both[: len(lo)], both[len(lo) :]
 
-    def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The first position of a pattern, from its (not empty) suffix range."""
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.int64)
-        for k in np.unique(level).tolist():
-            at = level == k
-            table = self.least[k]
-            out[at] = np.minimum(table[lo[at]], table[hi[at] - 2**k])
-        return out
+    def cut(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the repeated window or -1, its range) for patterns of a window or more that begin their ranges at lo."""
+        if not len(self.low):
+            return np.full(len(lo), -1), lo, lo + 1
+        k = np.searchsorted(self.low, lo, "right") - 1
+        inside = (k >= 0) & (lo < self.high[k])
+        return np.where(inside, k, -1), np.where(inside, self.low[k], lo), np.where(inside, self.high[k], lo + 1)
 
 
-def earlier_windows(sequences: np.ndarray, sizes: np.ndarray, size: int, window: int) -> np.ndarray:
+def repeated_windows(sequences: np.ndarray, sizes: np.ndarray, size: int, window: int) -> np.ndarray:
     """For each position of the sequences (symbols from 1, one after the other, of the given sizes):
-    whether the window that starts there, inside its sequence, also starts at an earlier position.
+    a number that equal windows share, if the window that starts there, inside its sequence, stands
+    more than once in all sequences; -1 if not.
 
-    Backward search from each sequence's end gives matching statistics against what stands earlier:
-    a match of a window or more is extended as far as it goes and covers all windows in it; where a
-    match ends, the search begins again at the last end that could still hold a window.
+    All sequences stream backwards through the index, a symbol a step: the range of what has been
+    read is extended, and cut to a window where it grows longer, so matching statistics are known up
+    to the threshold at every position, and windows whose range holds others are reported.
     """
     n, many = len(sequences), len(sizes)
-    first = np.cumsum(sizes) - sizes
-    base = first + np.arange(many)  # with a separator after each
-    text = np.zeros(n + many, np.int64)
+    base = np.cumsum(sizes) - sizes + np.arange(many)  # with a separator after each
+    text = np.zeros(n + many, np.int32)
     place = np.arange(n) + np.repeat(np.arange(many), sizes)
     text[place] = sequences
-    index = FMIndex(text, size)
-    found = np.zeros(n + many, bool)
-    own = np.flatnonzero(sizes >= window)
-    end, left = sizes[own] - 1, sizes[own].copy()
-    lo, hi = np.zeros(len(own), np.int64), np.full(len(own), index.n, np.int64)
-    at = base[own]
+    index = FMIndex(text, size, window)
+    of = np.full(n + many, -1, np.int32)
+    own = sizes >= window
+    at, left = base[own], sizes[own]
+    read, lo, hi = 0, np.zeros(len(at), np.int64), np.full(len(at), index.n, np.int64)
     while len(at):
-        here = at + left - 1
-        nlo, nhi = index.extend(lo, hi, text[here])
-        ok = nhi - nlo >= 2
-        ok[ok] = index.earliest(nlo[ok], nhi[ok]) < here[ok]
-        left = np.where(ok, left - 1, left)
-        found[here[ok & (end - left + 1 >= window)]] = True
-        again = ~ok
-        end = np.where(again, np.minimum(end - 1, left + window - 2), end)
-        left = np.where(again, end + 1, left)
-        lo, hi = np.where(again, 0, nlo), np.where(again, index.n, nhi)
-        go = (left > 0) & (end >= window - 1)
+        left, read = left - 1, read + 1
+        lo, hi = index.extend(lo, hi, text[at + left])
+        if read >= window:
+            of[at + left], lo, hi = index.cut(lo)
+        go = left > 0
         if not go.all():
-            at, end, left, lo, hi = at[go], end[go], left[go], lo[go], hi[go]
-    return found[place]
+            at, left, lo, hi = at[go], left[go], lo[go], hi[go]
+    return of[place]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bound_batches, crc_mod, mix, release, word_hashes, written
+from .common import bound_batches, crc_mod, mix, word_hashes, written
 from .packed import PACKED, bucketed, packed, rows, shard, split, unpacked, with_answers
 
 #: No words: they have white space.
@@ -315,9 +315,7 @@ def scored(docs: DataFrame, training) -> DataFrame:
 
     totals = lambda df, *kinds: [unpacked(bytes(r.data), *kinds) for r in df.filter(F.col("part") == TOTALS).select("data").toLocalIterator()]
     bigrams = answered(marked([]), _ask_bigrams, _answer_bigrams, "kn-bigrams")
-    release(spark)
     words = answered(marked([bigrams]), _ask_words, _answer_words, "kn-words")
-    release(spark)
     of_words = totals(words, np.int64, np.int64)
     add = lambda arrays, n: np.sum(arrays, axis=0) if arrays else np.zeros(n, np.int64)
     model = Model.of(add([t[0] for t in totals(bigrams, np.int64)], 4), add([t[0] for t in of_words], 4), add([t[1] for t in of_words], 4))

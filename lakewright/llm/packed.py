@@ -10,14 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, shuffle_parts
+from .common import mix, parts_for, shuffle_parts
 
 PACKED = "part int, data binary"
 #: Text bytes in a bucket of documents.
 BUCKET_BYTES = 12 << 20
+#: Partitions of an exchange at most: of more buckets or shards, a task takes several, one after the other.
+MOST_PARTS = 20_000
+#: The part of rows that count something over a whole pass.
+TOTALS = -1
 
 
 def shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash, evenly also where the hashes are minima and so mostly small."""
+    h = mix(h)
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
@@ -47,33 +53,58 @@ def split(part: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.
         yield int(part[i]), [a[i:j] for a in arrays]
 
 
+def dealt(df: DataFrame, parts: int, *order: str) -> DataFrame:
+    """df dealt by its column part, which counts up to parts; each part's rows stand together, in the given order."""
+    n = min(parts, MOST_PARTS)
+    return df.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part", *order)
+
+
+def by_part(batches) -> Iterator[tuple[int, list[bytes]]]:
+    """(part, its data) of rows (part, data) that are dealt."""
+    now, got = None, []
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if part != now:
+                if got:
+                    yield now, got
+                now, got = part, []
+            got.append(data)
+    if got:
+        yield now, got
+
+
 def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(part, doc_id, text as bytes) of docs (doc_id, text), and the number of buckets that part counts:
-    documents go to buckets by a hash of their id, about BUCKET_BYTES of text to each."""
+    """(part, key, doc_id, text as bytes) of docs (doc_id, text), and the number of buckets that part
+    counts: rows go to buckets by a hash of id and text, about BUCKET_BYTES of text to each. So only
+    rows that are equal in both are bound to lie together."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(shuffle_parts(docs.sparkSession), parts_for(total, BUCKET_BYTES))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    return docs.select(part.alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")), n
+    key = F.xxhash64("doc_id", "text")
+    own = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
+    return own.select(F.pmod("key", F.lit(n)).cast("int").alias("part"), "key", "doc_id", "text"), n
 
 
 def with_answers(docs: DataFrame, answers: list[DataFrame], buckets: int) -> DataFrame:
-    """Rows (part, kind, doc_id, data) of each bucket: its answers (kind: their place in the list), then its documents (a later kind)."""
-    every = docs.select("part", F.lit(len(answers)).alias("kind"), "doc_id", F.col("text").alias("data"))
+    """Rows (part, kind, doc_id, data) of each bucket: its answers (kind: their place in the list), then
+    its documents (a later kind), in an order that follows from what they hold."""
+    every = docs.select("part", F.lit(len(answers)).alias("kind"), "key", "doc_id", F.col("text").alias("data"))
     for kind, a in enumerate(answers):
-        every = every.unionAll(a.filter("part >= 0").select("part", F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "data"))
-    return every.repartitionById(buckets, F.col("part")).sortWithinPartitions("part", "kind")
+        every = every.unionAll(a.filter("part >= 0").select("part", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("long").alias("doc_id"), "data"))
+    return dealt(every, buckets, "kind", "key", "doc_id", "data").drop("key")
 
 
-def met(batches, kinds) -> Iterator[tuple[int, int | None, bytes | None, list[np.ndarray]]]:
-    """(bucket, doc_id, text, the bucket's answers joined) of each document of ``_with_answers``."""
-    now, got, joined = None, [], None
+def met(batches, kinds) -> Iterator[tuple[int, int, int | None, bytes | None, list[np.ndarray]]]:
+    """(bucket, place in the bucket, doc_id, text, the bucket's answers joined) of each document of ``with_answers``."""
+    now, place, got, joined = None, 0, [], None
     for batch in batches:
         for part, kind, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
             if part != now:
-                now, got, joined = part, [], None
+                now, place, got, joined = part, 0, [], None
             if kind == 0:
                 got.append(unpacked(data, *kinds))
             else:
                 if joined is None:
                     joined = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, k) for i, k in enumerate(kinds)]
-                yield part, doc_id, data, joined
+                    got = []
+                yield part, place, doc_id, data, joined
+                place += 1

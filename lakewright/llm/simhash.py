@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import binaries, bound_batches, parts_for, release, remove, shuffle_parts, written
+from .common import binaries, bound_batches, parts_for, remove, shuffle_parts, written
 from .components import components
 
 SHINGLE = 3
@@ -172,7 +172,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each = written(fingerprints(docs), "simhash-fp")
     distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = written(links(distinct.select("fp"), distinct.count()), "simhash-links")
-    release(spark)
     roots = components(found, "simhash-cc")
     labelled = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     remove(spark, found)

@@ -14,11 +14,12 @@ and form a segment. Four passes:
    of the window's own hash, so no anchor makes a shard large.
 3. A shard keeps each segment once, in order of where it stands first, builds an FM-index (BWT in a
    wavelet matrix) over them and streams them through it: backward search gives matching
-   statistics against earlier text, and windows inside matches of 20 words or more are reported.
+   statistics, and of the windows that match elsewhere all but the earliest are reported.
 4. Documents meet the reports, and covered words go.
 
 What moves between tasks is packed in rows of binary data. Words are compared by 48 bits of their
-hash. Buckets, shards and ranges hold bounded amounts; their numbers grow with the input.
+hash, so a wrong report takes two windows that differ only where those bits agree. A bucket holds
+BUCKET_BYTES of text, a shard about SHARD_WORDS words; their numbers grow with the input.
 """
 
 from __future__ import annotations
@@ -30,17 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, gram_hashes, release, remove, word_hashes, written
-from .fmindex import earlier_windows
-from .packed import PACKED, bucketed, met, packed, rows, shard, split, unpacked, with_answers
+from .common import bound_batches, gram_hashes, parts_for, remove, shuffle_parts, word_hashes, written
+from .fmindex import repeated_windows
+from .packed import PACKED, TOTALS, bucketed, by_part, dealt, met, packed, rows, shard, split, unpacked, with_answers
 
 WINDOW, ANCHOR = 20, 6
 #: Windows in a segment at most, and segments of an anchor that is not yet very frequent.
 SEGMENT_WINDOWS, FREQUENT = 60, 4096
+#: Words in a shard, about, if a segment has SEGMENT_WORDS and one that goes window by window WINDOWS_WORDS.
+SHARD_WORDS, SEGMENT_WORDS, WINDOWS_WORDS = 1_000_000, 27, 160
 #: Anchors, and segments, that a task holds before it hands them on.
 FLUSH_ANCHORS, FLUSH_SEGMENTS = 1_000_000, 60_000
 #: Of one document in so many, anchors are counted to find heavy ones: those with at least HEAVY_LEAST
-#: and a share of 1/HEAVY of the count. So there are HEAVY of them at most. It only decides how they travel.
+#: and a share of 1/HEAVY of the count. So there are HEAVY of them at most. HEAVY and FREQUENT only decide
+#: how segments travel: every window of a segment reaches a shard together with all its equals either way,
+#: because equal windows have equal anchors, and an anchor goes one way in all documents.
 SAMPLE, HEAVY, HEAVY_LEAST = 64, 4096, 16
 
 
@@ -76,8 +81,9 @@ def _anchor_rows(anchors: list[np.ndarray], buckets: list[np.ndarray], shards: i
     return rows([(k, packed(*x)) for k, x in split(shard(a, shards), a, b, n)])
 
 
-def _heavy(docs: DataFrame) -> np.ndarray:
-    """Anchors of a share of all segments, at most HEAVY, ascending; they need no counting and would crowd a shard."""
+def _heavy(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """(anchors of a share of all segments, at most HEAVY, ascending; about how many segments they have).
+    They need no counting and would crowd a shard."""
 
     def each(batches):
         found: list[np.ndarray] = []
@@ -87,12 +93,12 @@ def _heavy(docs: DataFrame) -> np.ndarray:
             once, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(each, "anchor long, n long")
+    sample = docs.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(each, "anchor long, n long")
     counted = written(sample.groupBy("anchor").agg(F.sum("n").alias("n")), "substring-heavy")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    top = counted.filter((F.col("n") >= HEAVY_LEAST) & (F.col("n") * HEAVY >= total)).select("anchor").collect()
+    top = counted.filter((F.col("n") >= HEAVY_LEAST) & (F.col("n") * HEAVY >= total)).collect()
     remove(docs.sparkSession, counted)
-    return np.sort(np.array([r.anchor for r in top], np.int64).view(np.uint64))
+    return np.sort(np.array([r.anchor for r in top], np.int64).view(np.uint64)), SAMPLE * sum(r.n for r in top)
 
 
 def _member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -102,7 +108,8 @@ def _member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _repeated(docs: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
-    """Pass 1: rows (part: bucket, data: its repeated anchors, and which are very frequent). Heavy anchors are left out: all know them."""
+    """Pass 1: rows (part: bucket, data: its repeated anchors, and which are very frequent). Heavy anchors
+    are left out: all know them. Rows of part TOTALS count segments: usual ones, and very frequent ones."""
 
     def emit(batches):
         anchors, of, held = [], [], 0
@@ -124,19 +131,17 @@ def _repeated(docs: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
             yield _anchor_rows(anchors, of, shards)
 
     def count(batches):
-        got = [unpacked(d, np.uint64, np.uint32, np.uint16) for batch in batches for d in batch.column(1).to_pylist()]
-        if not got:
-            return
-        a, b, n = (np.concatenate([g[i] for g in got]) for i in range(3))
-        once, of = np.unique(a, return_inverse=True)
-        total = np.bincount(of, n.astype(np.float64), len(once))[of]
-        a, b, often = a[total > 1], b[total > 1], total[total > 1] > FREQUENT
-        for bucket, (x, f) in split(b.astype(np.int64), a, often):
-            once, first = np.unique(x, return_index=True)
-            yield rows([(bucket, packed(once, f[first].astype(np.uint8)))])
+        for _, data in by_part(batches):
+            a, b, n = (np.concatenate(x) for x in zip(*(unpacked(d, np.uint64, np.uint32, np.uint16) for d in data)))
+            once, of = np.unique(a, return_inverse=True)
+            total = np.bincount(of, n.astype(np.float64), len(once))[of]
+            a, b, n, often = a[total > 1], b[total > 1], n[total > 1], total[total > 1] > FREQUENT
+            yield rows([(TOTALS, packed(np.array([n[~often].sum(), n[often].sum()], np.int64)))])
+            for bucket, (x, f) in split(b.astype(np.int64), a, often):
+                once, first = np.unique(x, return_index=True)
+                yield rows([(bucket, packed(once, f[first].astype(np.uint8)))])
 
-    anchors = docs.select("part", "text").mapInArrow(emit, PACKED)
-    return anchors.repartitionById(shards, F.col("part")).mapInArrow(count, PACKED)
+    return dealt(docs.select("part", "text").mapInArrow(emit, PACKED), shards).mapInArrow(count, PACKED)
 
 
 class _Segments:
@@ -144,30 +149,31 @@ class _Segments:
 
     def __init__(self, shards: int):
         self.shards, self.number, self.shard = shards, {}, []
-        self.of, self.doc, self.start = [], [], []
+        self.of, self.place, self.doc, self.start = [], [], [], []
 
-    def add(self, words: bytes, shard: int, doc: int, start: int) -> None:
+    def add(self, words: bytes, shard: int, place: int, doc: int, start: int) -> None:
         k = self.number.get(words)
         if k is None:
             k = self.number[words] = len(self.number)
             self.shard.append(shard)
         self.of.append(k)
+        self.place.append(place)
         self.doc.append(doc)
         self.start.append(start)
 
     def batches(self, bucket: int) -> Iterator[pa.RecordBatch]:
         shard, of = np.array(self.shard, np.int64), np.array(self.of, np.int64)
-        doc, start = np.array(self.doc, np.int64), np.array(self.start, np.uint32)
+        place, doc, start = np.array(self.place, np.uint32), np.array(self.doc, np.int64), np.array(self.start, np.uint32)
         words = list(self.number)
         local = np.zeros(len(words), np.int64)
         own: dict[int, np.ndarray] = {}
         for k, (x,) in split(shard, np.arange(len(words))):
             own[k] = x
             local[x] = np.arange(len(x))
-        for k, (o, d, s) in split(shard[of], of, doc, start):
+        for k, (o, p, d, s) in split(shard[of], of, place, doc, start):
             texts = [words[i] for i in own[k].tolist()]
             sizes = np.array([len(t) // 6 for t in texts], np.uint8)
-            yield rows([(k, packed(sizes, np.frombuffer(b"".join(texts), np.uint8), local[o].astype(np.uint32), d, s, np.array([bucket], np.uint32)))])
+            yield rows([(k, packed(sizes, np.frombuffer(b"".join(texts), np.uint8), local[o].astype(np.uint32), p, d, s, np.array([bucket], np.uint32)))])
         self.__init__(self.shards)
 
 
@@ -177,7 +183,7 @@ _NULL = -(1 << 63)
 
 def _emit_segments(batches, shards: int, heavy: np.ndarray):
     out, last, heard = _Segments(shards), None, None
-    for bucket, doc_id, text, answers in met(batches, (np.uint64, np.uint8)):
+    for bucket, place, doc_id, text, answers in met(batches, (np.uint64, np.uint8)):
         if heard is not answers:
             heard, order = answers, np.argsort(answers[0], kind="stable")
             anchors, often = answers[0][order], answers[1][order]
@@ -203,56 +209,60 @@ def _emit_segments(batches, shards: int, heavy: np.ndarray):
             if frequent[i]:
                 own = shard(gram_hashes(h[s : s + k + WINDOW - 1], WINDOW), shards)
                 for j in range(k):
-                    out.add(raw[6 * (s + j) : 6 * (s + j + WINDOW)], int(own[j]), doc, s + j)
+                    out.add(raw[6 * (s + j) : 6 * (s + j + WINDOW)], int(own[j]), place, doc, s + j)
             else:
-                out.add(raw[6 * s : 6 * (s + k + WINDOW - 1)], int(own_shard[i]), doc, s)
+                out.add(raw[6 * s : 6 * (s + k + WINDOW - 1)], int(own_shard[i]), place, doc, s)
         if len(out.of) >= FLUSH_SEGMENTS:
             yield from out.batches(bucket)
     if out.of:
         yield from out.batches(last)
 
 
-def _search_shard(batches):
-    """Pass 3: rows (part: bucket, data: documents, first windows, and masks of the windows that also start earlier)."""
+def _search_shards(batches):
+    """Pass 3: rows (part: bucket, data: places of documents in it, first windows, and masks of the windows that also start earlier)."""
+    for _, data in by_part(batches):
+        yield from _search(data)
+
+
+def _search(data: list[bytes]):
     number: dict[bytes, int] = {}
-    of, doc, start, bucket = [], [], [], []
-    for batch in batches:
-        for data in batch.column(1).to_pylist():
-            sizes, words, o, d, s, b = unpacked(data, np.uint8, np.uint8, np.uint32, np.int64, np.uint32, np.uint32)
-            raw, ends = words.tobytes(), np.cumsum(sizes.astype(np.int64)) * 6
-            ids = np.fromiter((number.setdefault(raw[i:j], len(number)) for i, j in zip((ends - sizes.astype(np.int64) * 6).tolist(), ends.tolist())), np.int64, len(sizes))
-            of.append(ids[o])
-            doc.append(d)
-            start.append(s)
-            bucket.append(np.full(len(o), b[0], np.int64))
-    if not number:
-        return
-    of, doc, start, bucket = (np.concatenate(x) for x in (of, doc, start, bucket))
-    # The first place of each segment, and the segments in order of it.
+    parts: list[list[np.ndarray]] = []
+    for d in data:
+        sizes, words, o, *where, b = unpacked(d, np.uint8, np.uint8, np.uint32, np.uint32, np.int64, np.uint32, np.uint32)
+        raw, ends = words.tobytes(), np.cumsum(sizes.astype(np.int64)) * 6
+        ids = np.fromiter((number.setdefault(raw[i:j], len(number)) for i, j in zip((ends - sizes.astype(np.int64) * 6).tolist(), ends.tolist())), np.int64, len(sizes))
+        parts.append([ids[o], *where, np.full(len(o), b[0], np.int64)])
+    of, place, doc, start, bucket = (np.concatenate(x) for x in zip(*parts))
+    # The first place of each segment.
     order = np.lexsort((start, doc, of))
     lead = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]
-    by_place = np.lexsort((start[lead], doc[lead]))
-    texts = list(number)
-    texts = [texts[i] for i in by_place.tolist()]
-    sizes = np.array([len(t) // 6 for t in texts], np.int64)
-    raw = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, 6)
-    del number, texts
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :6] = raw
+    sizes = np.fromiter(map(len, number), np.int64, len(number)) // 6
+    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(number), np.uint8).reshape(-1, 6)
+    del number, parts
     once, symbols = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
-    found = earlier_windows(symbols + 1, sizes, len(once) + 1, WINDOW)
+    del wide
+    same = repeated_windows((symbols + 1).astype(np.int32), sizes, len(once) + 1, WINDOW)
+    del once, symbols
+    # Of equal windows those stay that start first; a word is removed where its window starts later.
     head = np.cumsum(sizes) - sizes
-    inside = np.arange(len(found)) - np.repeat(head, sizes)
-    bits = np.where(found, np.uint64(1) << np.minimum(inside, 63).astype(np.uint64), np.uint64(0))
-    at_first = np.empty(len(sizes), np.uint64)
-    at_first[by_place] = np.bitwise_or.reduceat(bits, head)
-    windows = np.empty(len(sizes), np.int64)
-    windows[by_place] = sizes - WINDOW + 1
-    every = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
+    at = np.flatnonzero(same >= 0)
+    of_segment = np.repeat(np.arange(len(sizes)), sizes)[at]
+    inside = at - head[of_segment]
+    d, s, same = doc[lead][of_segment], start[lead][of_segment].astype(np.int64) + inside, same[at]
+    order = np.lexsort((s, d, same))
+    new = np.concatenate([[True], same[order][1:] != same[order][:-1]])[: len(order)]
+    least = order[new][np.cumsum(new) - 1]
+    later = np.zeros(len(at), bool)
+    later[order] = (d[order] != d[least]) | (s[order] != s[least])
+    bits = np.zeros(int(sizes.sum()), np.uint64)
+    bits[at[later]] = np.uint64(1) << inside[later].astype(np.uint64)
+    at_first = np.bitwise_or.reduceat(bits, head)
+    every = (np.uint64(1) << (sizes - WINDOW + 1).astype(np.uint64)) - np.uint64(1)
     first = (doc == doc[lead][of]) & (start == start[lead][of])
     mask = np.where(first, at_first[of], every[of])
     some = mask > 0
-    for k, arrays in split(bucket[some], doc[some], start[some], mask[some]):
+    for k, arrays in split(bucket[some], place[some], start[some], mask[some]):
         yield rows([(k, packed(*arrays))])
 
 
@@ -278,25 +288,27 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     own, buckets = bucketed(docs)
-    heavy = _heavy(own)
+    heavy, heavy_segments = _heavy(own)
     repeated = written(_repeated(own, buckets, heavy), "substring-anchors")
-    release(spark)
-    shards = 2 * buckets
+    # Two numbers from each shard of anchors.
+    counted = repeated.filter(F.col("part") == TOTALS).select("data").toLocalIterator()
+    usual, frequent = np.sum([np.zeros(2, np.int64), *(unpacked(bytes(r.data), np.int64)[0] for r in counted)], 0).tolist()
+    words = SEGMENT_WORDS * usual + WINDOWS_WORDS * (frequent + heavy_segments)
+    shards = max(shuffle_parts(spark), parts_for(words, SHARD_WORDS))
     sent = with_answers(own, [repeated], buckets).mapInArrow(lambda b: _emit_segments(b, shards, heavy), PACKED)
-    reports = written(sent.repartitionById(shards, F.col("part")).mapInArrow(_search_shard, PACKED), "substring-reports")
+    reports = written(dealt(sent, shards).mapInArrow(_search_shards, PACKED), "substring-reports")
     remove(spark, repeated)
-    release(spark)
 
     def cut(batches):
         held, size = [], 0
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
         now, order, of = None, None, None
-        for bucket, doc_id, text, (doc, start, mask) in met(batches, (np.int64, np.uint32, np.uint64)):
-            if now is not doc:
-                now, order = doc, np.argsort(doc, kind="stable")
-                of = doc[order]
-            words, gone, key = (text or b"").split(), 0, _NULL if doc_id is None else doc_id
-            i, j = np.searchsorted(of, key), np.searchsorted(of, key, "right")
+        for _, place, doc_id, text, (places, start, mask) in met(batches, (np.uint32, np.uint32, np.uint64)):
+            if now is not places:
+                now, order = places, np.argsort(places, kind="stable")
+                of = places[order]
+            words, gone = (text or b"").split(), 0
+            i, j = np.searchsorted(of, place), np.searchsorted(of, place, "right")
             n = len(words)
             if j > i:
                 drop = covered(n, start[order[i:j]], mask[order[i:j]])

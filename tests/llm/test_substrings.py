@@ -1,21 +1,22 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from lakewright.llm import substrings
-from lakewright.llm.fmindex import FMIndex, WaveletMatrix, earlier_windows, suffix_array
+from lakewright.llm.fmindex import FMIndex, WaveletMatrix, repeated_windows, suffix_array
 
 
 def brute_windows(seq, sizes, window):
-    seen, out, at = set(), np.zeros(len(seq), bool), 0
+    """The windows at each position, None where there is none or it stands only once."""
+    out, at = [None] * len(seq), 0
     for n in sizes:
         for i in range(n - window + 1):
-            key = tuple(seq[at + i : at + i + window])
-            out[at + i] = key in seen
-            seen.add(key)
+            out[at + i] = tuple(seq[at + i : at + i + window])
         at += n
-    return out
+    n = Counter(out)
+    return [w if n[w] > 1 else None for w in out]
 
 
 def brute(docs, window=20):
@@ -38,8 +39,10 @@ def brute(docs, window=20):
 def test_suffix_array_and_ranks():
     rng = np.random.default_rng(0)
     s = np.append(rng.integers(1, 4, 200), 0)
-    sa = suffix_array(s)
+    sa, rank = suffix_array(s, 4)
     assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    first = [tuple(s[i : i + 4]) for i in range(len(s))]
+    assert all((rank[i] == rank[j]) == (first[i] == first[j]) for i in range(0, 200, 3) for j in range(200))
     m = WaveletMatrix(s, 2)
     for c in range(4):
         start = m.mapped(np.array([0]), np.array([c]))
@@ -50,17 +53,22 @@ def test_suffix_array_and_ranks():
 def test_backward_search_counts_occurrences():
     rng = np.random.default_rng(1)
     s = np.append(rng.integers(1, 5, 300), 0)
-    index = FMIndex(s, 5)
+    index = FMIndex(s.astype(np.int32), 5, 4)
     for n in (1, 2, 4):
         for i in range(0, 290, 13):
             lo, hi = np.array([0]), np.array([len(s)])
             for c in s[i : i + n][::-1]:
                 lo, hi = index.extend(lo, hi, np.array([c]))
             places = [j for j in range(len(s) - n + 1) if (s[j : j + n] == s[i : i + n]).all()]
-            assert hi[0] - lo[0] == len(places) and index.earliest(lo, hi)[0] == places[0]
+            assert hi[0] - lo[0] == len(places)
+            if n == 4:
+                longer = index.extend(lo, hi, np.array([s[i - 1]])) if i else (lo, hi)
+                k, low, high = index.cut(longer[0])
+                same = [j for j in range(len(s) - n + 1) if (s[j : j + n] == s[max(i - 1, 0) : max(i - 1, 0) + n]).all()]
+                assert high[0] - low[0] == len(same) and (k[0] >= 0) == (len(same) > 1)
 
 
-def test_earlier_windows():
+def test_windows():
     rng = random.Random(4)
     for _ in range(60):
         letters, window = rng.choice([2, 3, 30]), rng.choice([2, 5, 20])
@@ -73,7 +81,9 @@ def test_earlier_windows():
             seqs.append(s)
         sizes = np.array([len(s) for s in seqs])
         seq = np.concatenate(seqs)
-        assert (earlier_windows(seq, sizes, letters + 1, window) == brute_windows(seq.tolist(), sizes, window)).all()
+        got, windows = repeated_windows(seq, sizes, letters + 1, window).tolist(), brute_windows(seq.tolist(), sizes, window)
+        assert [k >= 0 for k in got] == [w is not None for w in windows]
+        assert len(set(got)) == len(set(windows)) == len(set(zip(got, windows)))
 
 
 def documents():
@@ -89,6 +99,8 @@ def documents():
         docs.append((i * 3, "\n ".join(w)))
     docs += [(1, docs[9][1]), (500, docs[9][1]), (None, docs[7][1]), (501, None), (502, ""), (503, "short text"), (504, "again and " * 5000), (505, "a b c d e " * 30)]
     docs += [(docs[4][0], docs[4][1])]
+    # Other texts under one id, or none; the second has at the same place what the first has.
+    docs += [(30, "x y " + docs[5][1]), (600, docs[12][1]), (600, docs[13][1]), (600, "z " + docs[13][1]), (None, docs[14][1]), (None, "q r " + docs[14][1]), (None, docs[3][1])]
     return docs
 
 
