@@ -55,6 +55,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_parts(df: DataFrame, path: str, column: str) -> None:
+    """Writes df under path, a folder for each value of the column; see ``written``."""
+    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    df.write.partitionBy(column).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def numbered(df: DataFrame, name: str, order: Column, label: str) -> DataFrame:
     """df, written, with a column name: each row's own number, ascending in the given order.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parts_for, shuffle_parts
+from .common import parts_for, shuffle_parts
 
 PACKED = "part int, data binary"
 #: Text bytes in a bucket of documents.
@@ -22,8 +22,7 @@ TOTALS = -1
 
 
 def shard(h: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each hash, evenly also where the hashes are minima and so mostly small."""
-    h = mix(h)
+    """The shard of each hash, by its high bits: shards follow the hashes' order."""
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, gram_hashes, parts_for, remove, shuffle_parts, word_hashes, written
+from .common import bound_batches, gram_hashes, mix, parts_for, remove, shuffle_parts, word_hashes, written
 from .fmindex import repeated_windows
 from .packed import PACKED, TOTALS, bucketed, by_part, dealt, met, packed, rows, shard, split, unpacked, with_answers
 
@@ -71,6 +71,11 @@ def segments(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
     return cut, n, g[cut], twice
 
 
+def _shard_of(anchors: np.ndarray, shards: int) -> np.ndarray:
+    """Anchors are least hashes, so they are small; another hash deals them evenly."""
+    return shard(mix(anchors), shards)
+
+
 def _anchor_rows(anchors: list[np.ndarray], buckets: list[np.ndarray], shards: int) -> pa.RecordBatch:
     a, b = np.concatenate(anchors), np.concatenate(buckets)
     order = np.lexsort((b, a))
@@ -78,7 +83,7 @@ def _anchor_rows(anchors: list[np.ndarray], buckets: list[np.ndarray], shards: i
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
     n = np.minimum(np.diff(np.append(new, len(a))), 65535).astype(np.uint16)
     a, b = a[new], b[new]
-    return rows([(k, packed(*x)) for k, x in split(shard(a, shards), a, b, n)])
+    return rows([(k, packed(*x)) for k, x in split(_shard_of(a, shards), a, b, n)])
 
 
 def _heavy(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -203,7 +208,7 @@ def _emit_segments(batches, shards: int, heavy: np.ndarray):
             frequent |= _member(anchors, a) & (often[np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)] > 0)
         words = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         raw, doc = np.ascontiguousarray(words).tobytes(), _NULL if doc_id is None else doc_id
-        own_shard = shard(a, shards)
+        own_shard = _shard_of(a, shards)
         for i in np.flatnonzero(hit).tolist():
             s, k = int(first[i]), int(n[i])
             if frequent[i]:

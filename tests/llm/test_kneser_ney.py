@@ -13,20 +13,22 @@ from lakewright.llm import kneser_ney as kn
 class Plain:
     """The model by the book, with dictionaries."""
 
-    def __init__(self, texts):
-        self.c, self.uni = Counter(), Counter()
+    def __init__(self, texts, order):
+        self.order, self.c = order, {k: Counter() for k in range(1, order + 1)}
+        self.uni = Counter()
         for t in texts:
             tokens = [*t.encode().lower().split(), None]
             self.uni.update(tokens)
-            self.c.update(zip(["start", *tokens[:-1]], tokens))
-        self.total, self.kinds, self.contexts = Counter(), defaultdict(Counter), Counter()
-        for (v, w), n in self.c.items():
-            self.total[v] += n
-            self.kinds[v][min(n, 3)] += 1
-            self.contexts[w] += 1
-        self.d2 = self.discounts(self.c.values())
-        self.d1 = self.discounts(self.contexts.values())
-        self.types = len(self.c)
+            padded = ["start"] * (order - 1) + tokens
+            self.c[order].update(tuple(padded[i : i + order]) for i in range(len(tokens)))
+        for k in range(order - 1, 0, -1):
+            self.c[k].update(g[1:] for g in self.c[k + 1])
+        self.d = {k: self.discounts(c.values()) for k, c in self.c.items()}
+        self.total, self.kinds = Counter(), defaultdict(Counter)
+        for c in self.c.values():
+            for g, n in c.items():
+                self.total[g[:-1]] += n
+                self.kinds[g[:-1]][min(n, 3)] += 1
 
     @staticmethod
     def discounts(counts):
@@ -39,21 +41,20 @@ class Plain:
             d[k] = min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05)
         return d
 
-    def lower(self, w):
-        left = sum(self.d1[min(n, 3)] for n in self.contexts.values()) / self.types
-        n = self.contexts[w]
-        return max(n - self.d1[min(n, 3)], 0) / self.types + left / (len(self.uni) + 1)
-
-    def p(self, v, w):
-        if not self.total[v]:
-            return self.lower(w)
-        n = self.c[v, w]
-        left = sum(self.d2[k] * m for k, m in self.kinds[v].items())
-        return (max(n - self.d2[min(n, 3)], 0) + left * self.lower(w)) / self.total[v]
+    def p(self, gram):
+        """P(the last | the others)."""
+        if not gram:
+            return 1 / (len(self.uni) + 1)
+        k, context = len(gram), gram[:-1]
+        if not self.total[context]:
+            return self.p(gram[1:])
+        n, d = self.c[k][gram], self.d[k]
+        left = sum(d[x] * m for x, m in self.kinds[context].items())
+        return (max(n - d[min(n, 3)], 0) + left * self.p(gram[1:])) / self.total[context]
 
     def score(self, text):
-        tokens = [*text.encode().lower().split(), None]
-        return sum(math.log10(self.p(v, w)) for v, w in zip(["start", *tokens[:-1]], tokens))
+        padded = ["start"] * (self.order - 1) + [*text.encode().lower().split(), None]
+        return sum(math.log10(self.p(tuple(padded[i : i + self.order]))) for i in range(len(padded) - self.order + 1))
 
     def base(self, text):
         n, v = sum(self.uni.values()), len(self.uni)
@@ -66,21 +67,24 @@ def texts():
     return out + ["", "never seen words", "the " * 30000]
 
 
-def test_scores_are_the_plain_model(spark):
+@pytest.mark.parametrize("order,bucket", [(3, 1 << 20), (3, 2000), (2, 2000), (4, 5000)])
+def test_scores_are_the_plain_model(spark, monkeypatch, order, bucket):
+    monkeypatch.setattr(kn, "BUCKET_BYTES", bucket)
     own = texts()
-    docs = [(i, t) for i, t in enumerate(own)] + [(None, "the cat"), (500, None), (3, own[3])]
-    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, kind int")
-    trains = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
-    plain = Plain([t or "" for i, t in docs if i is not None and trains(i)])
-    assert abs(sum(plain.p("start", w) for w in plain.uni) + plain.p("start", "new") - 1) < 1e-9
-    got = kn.scored(df, ~kn.held_out()).collect()
-    assert len(got) == len(docs)
-    text = {i: t or "" for i, t in docs}
-    for r in got:
-        t = text[r.doc_id]
-        tokens = [*t.encode().lower().split(), None]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(plain.uni[w] > 0 for w in tokens), sum(plain.uni.values()))
-        assert math.isclose(r.score, plain.score(t), rel_tol=1e-9) and math.isclose(r.base_score, plain.base(t), rel_tol=1e-9)
+    docs = [(i, t) for i, t in enumerate(own)] + [(None, "the cat"), (500, None), (3, own[3]), (3, own[5]), (None, own[7])]
+    df = spark.createDataFrame([(*d, k, 1) for k, d in enumerate(docs)], "doc_id long, text string, row long, kind int")
+    trains = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
+    plain = Plain([t or "" for i, t in docs if trains(i)], order)
+    for context in (("start",) * (order - 1), ("the",) * (order - 1), ("cat",) * (order - 1)):
+        assert abs(sum(plain.p((*context, w)) for w in plain.uni) + plain.p((*context, "new")) - 1) < 1e-9
+    got = kn.scored(df, ~kn.held_out(), order).collect()
+    want = []
+    for i, t in docs:
+        tokens = [*(t or "").encode().lower().split(), None]
+        want.append((i, len(tokens), sum(plain.uni[w] > 0 for w in tokens), sum(plain.uni.values()), plain.base(t or ""), plain.score(t or "")))
+    key = lambda r: tuple((-1 if x is None else x) for x in r[:3]) + (round(r[4], 6),)
+    for r, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert r[:4] == w[:4] and math.isclose(r[4], w[4], rel_tol=1e-9) and math.isclose(r[5], w[5], rel_tol=1e-9)
 
 
 def test_no_rows_and_no_training(spark):
