@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, mapped into memory for scoring.
 
-Words and n-grams go by 64-bit hashes. Documents lie in buckets, as numbers of words in one row each,
+Words and n-grams go by hashes. Documents lie in buckets, as numbers of words in one row each,
 and hashes in shards by their high bits, so that a shard's load does not depend on how frequent a word
 is. Nothing but the shards' and buckets' number grows with the corpus.
 
@@ -11,10 +11,10 @@ context (the total, and how many continuations are seen once, twice and more oft
 words as continuation (how many words they follow); shards sum these likewise. Each shard's sums are
 stored in the shared folder as a sorted hash array with its counts.
 
-Scoring asks for all n-grams of all documents, order by order, but for
-those of the highest whose counts it was told in training: a shard's worker maps its stored arrays into
-memory, finds the asked hashes by binary search, and answers each bucket in the order of its question;
-a bucket with all answers scores its documents. So the model is never in one place: a task
+Scoring asks for all n-grams of all documents, but for those of the highest order whose counts a
+bucket was told in training: a shard's worker maps its stored arrays into memory, finds the asked
+hashes by binary search, and answers each bucket in the order of its question; a bucket with all answers
+scores its documents. An order is asked for as soon as it is stored, so that one order's arrays are kept at a time. So the model is never in one place: a task
 holds one shard of it or the answers to one bucket. The discounts come from counts of counts, a few
 numbers from each shard.
 """
@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +44,8 @@ BUCKET_BYTES = 8 << 20
 #: No words: they have white space.
 START, END = np.uint64(xxh64_intdigest(b" start ")), np.uint64(xxh64_intdigest(b" end "))
 PSEUDO = 0.1
+#: Bits of an n-gram's hash that are used, 56; words have all 64. Of N n-grams, one in 2**56 / N unseen ones is taken for a seen one.
+_KEPT = np.uint64(0xFFFFFFFFFFFFFF00)
 #: Shards' arrays are rows of part MODEL less the shard's number.
 MODEL = -2
 #: What is known of an n-gram below the highest order, as context: continuations seen once, twice, more often, and the
@@ -168,7 +170,7 @@ class Bucket:
             before = np.roll(below, 1)
             before[self.starts] = below[self.starts]
             with np.errstate(over="ignore"):
-                self._hashes.append(mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(self.vocabulary)[self.words]))
+                self._hashes.append(mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(self.vocabulary)[self.words]) & _KEPT)
         return self._hashes[order - 1]
 
     def numbered(self, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,23 +334,15 @@ class Discounts:
 
 @dataclass
 class Model:
-    """A trained model: the tables of its shards' arrays, the highest order first, what the shards answered to the
-    buckets that it was trained on, and the numbers that all scores share."""
+    """The numbers of a trained model that all scores share."""
 
     order: int
-    shards: int
-    tables: list[DataFrame]
-    answered: list[DataFrame]
     discounts: list[Discounts]  # of the orders, the highest first
     known: int  # distinct training tokens
     tokens: int
     types: int  # distinct training bigrams, which end in words
     back_off: float  # probability that words leave to the uniform distribution
 
-    def width(self, order: int) -> int:
-        """Arrays of counts that a shard has for each n-gram of an order."""
-        return 1 if order == self.order else STATS + (order == 1)
-
     def log10(self, bucket: Bucket, counts: list[list[np.ndarray]], of: list[np.ndarray]) -> np.ndarray:
         """log10 of P(token | context) for each position that is a token's; counts: those of each order's numbered
         n-grams, words first; of: the numbers at the positions."""
@@ -373,28 +367,38 @@ class Model:
         return np.log10((count + PSEUDO) / (self.tokens + PSEUDO * (self.known + 1)))
 
 
-def trained(buckets: DataFrame, n: int, order: int = ORDER) -> Model:
-    """The model of the training documents of n buckets. No training documents: every token has probability 1."""
+def width(order: int, highest: int) -> int:
+    """Arrays of counts that a shard has for each n-gram of an order."""
+    return 1 if order == highest else STATS + (order == 1)
+
+
+def trained(buckets: DataFrame, n: int, order: int, use: Callable[[int, DataFrame], None]) -> tuple[Model, list[DataFrame]]:
+    """(the model of the training documents of n buckets, what its shards answered to the buckets, the highest order first).
+
+    use is called with each order and the table of its shards' arrays as it is stored. No training
+    documents: every token has probability 1.
+    """
     spark = buckets.sparkSession
-    tables, answered, discounts = [], [], []
+    answered, discounts = [], []
     for at in range(order, 0, -1):
-        told = _with_answers(buckets, answered, n).mapInArrow(_tell(order, at, n), PACKED)
-        width = 1 if at == order else STATS + (at == 1)
-        out = dealt(told, n).mapInArrow(_sum(width, at > 1), PACKED)
+        met = _with_answers(buckets, answered, n) if answered else buckets.select("part", F.lit(0).alias("kind"), "data")
+        told = met.mapInArrow(_tell(order, at, n), PACKED)
+        out = dealt(told, n).mapInArrow(_sum(width(at, order), at > 1), PACKED)
         path = new_path(spark, f"kn-model-{at}")
         written_parts(out.withColumn("kind", F.when(F.col("part") >= 0, "answer").otherwise("stored")), path, "kind")
         kept = lambda kind: spark.read.schema(PACKED).parquet(f"{path}/kind={kind}") if exists(spark, f"{path}/kind={kind}") else spark.createDataFrame([], PACKED)  # noqa: B023, E731
-        tables.append(kept("stored"))
+        stored = kept("stored")
         answered.append(kept("answer"))
         # Some numbers from each shard.
-        got = [unpacked(bytes(r.data), np.int64, np.int64) for r in tables[-1].filter(F.col("part") == TOTALS).select("data").toLocalIterator()]
+        got = [unpacked(bytes(r.data), np.int64, np.int64) for r in stored.filter(F.col("part") == TOTALS).select("data").toLocalIterator()]
         counts = sum((c for c, _ in got), np.zeros(4, np.int64))
         totals = sum((t for _, t in got), np.zeros(4 if at == 1 else 2, np.int64))
         discounts.append(Discounts.of(counts))
+        use(at, stored)
     types, distinct, known, tokens = (int(x) for x in totals)
     d, n1, n2 = discounts[-1], int(counts[0]), int(counts[1])
     left = d.one * n1 + d.two * n2 + d.more * (distinct - n1 - n2)
-    return Model(order, n, tables, answered[: order - 1], discounts, known, tokens, types, left / types if types else 1.0)
+    return Model(order, discounts, known, tokens, types, left / types if types else 1.0), answered[: order - 1]
 
 
 # Scoring
@@ -445,11 +449,11 @@ def _look_up(width: int):
     return each
 
 
-def answers(buckets: DataFrame, order: int, model: Model) -> DataFrame:
-    """What the model's shards say of the n-grams of an order in the buckets, written."""
-    stored = model.tables[model.order - order].filter(F.col("part") <= MODEL).select((MODEL - F.col("part")).alias("part"), F.lit(0).alias("kind"), "data")
-    asked = buckets.mapInArrow(_ask(order, model.order, model.shards), PACKED).select("part", F.lit(1).alias("kind"), "data")
-    return written(dealt(stored.unionAll(asked), model.shards, "kind").mapInArrow(_look_up(model.width(order)), PACKED), f"kn-answers-{order}")
+def answers(buckets: DataFrame, n: int, order: int, highest: int, table: DataFrame) -> DataFrame:
+    """What the shards of a stored order say of its n-grams in the n buckets, written."""
+    stored = table.filter(F.col("part") <= MODEL).select((MODEL - F.col("part")).alias("part"), F.lit(0).alias("kind"), "data")
+    asked = buckets.mapInArrow(_ask(order, highest, n), PACKED).select("part", F.lit(1).alias("kind"), "data")
+    return written(dealt(stored.unionAll(asked), n, "kind").mapInArrow(_look_up(width(order, highest)), PACKED), f"kn-answers-{order}")
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -466,23 +470,24 @@ def scored(docs: DataFrame, training, order: int = ORDER) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
     buckets, n = bucketed(docs, training)
-    model = trained(buckets, n, order)
-    for a in model.answered[1:]:
-        remove(spark, a)
     said: dict[int, DataFrame] = {}
-    for k in range(order, 0, -1):
-        said[k] = answers(buckets, k, model)
-        remove(spark, model.tables[order - k])
-    widths = [model.width(k) for k in range(1, order + 1)]
-    shared = Model(order, model.shards, [], [], model.discounts, model.known, model.tokens, model.types, model.back_off)
+
+    def use(at: int, table: DataFrame) -> None:
+        said[at] = answers(buckets, n, at, order, table)
+        remove(spark, table)
+
+    model, answered = trained(buckets, n, order, use)
+    for a in answered[1:]:
+        remove(spark, a)
+    widths = [width(k, order) for k in range(1, order + 1)]
 
     def score(batches):
         for _, bucket, got in _met(batches, order + 1):
             of, counts = [], []
-            for k, (width, data) in enumerate(zip(widths, got), 1):
-                each = [unpacked(d, np.uint32, *[np.uint8, np.uint64] * width) for d in data]
+            for k, (arrays, data) in enumerate(zip(widths, got), 1):
+                each = [unpacked(d, np.uint32, *[np.uint8, np.uint64] * arrays) for d in data]
                 numbers, h = bucket.numbered(k)
-                found = _joined([[a[0], *_counts(a[1:])] for a in each], width)
+                found = _joined([[a[0], *_counts(a[1:])] for a in each], arrays)
                 if k == order:
                     trained_on = np.bincount(numbers[bucket.training], minlength=len(h)) > 0
                     count = np.zeros(len(h), np.int64)
@@ -490,17 +495,17 @@ def scored(docs: DataFrame, training, order: int = ORDER) -> DataFrame:
                     found = [count]
                 of.append(numbers)
                 counts.append(found)
-            log = shared.log10(bucket, counts, of)
+            log = model.log10(bucket, counts, of)
             count = counts[0][5][of[0][bucket.token]]
             sizes = bucket.sizes - 1
             starts = np.cumsum(sizes) - sizes
             each_of = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.ids, pa.int64(), mask=bucket.null), pa.array(sizes), pa.array(each_of((count > 0).astype(np.int64))), pa.array(np.full(len(sizes), shared.tokens)), pa.array(each_of(shared.base(count))), pa.array(each_of(log))],
+                [pa.array(bucket.ids, pa.int64(), mask=bucket.null), pa.array(sizes), pa.array(each_of((count > 0).astype(np.int64))), pa.array(np.full(len(sizes), model.tokens)), pa.array(each_of(model.base(count))), pa.array(each_of(log))],
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return _with_answers(buckets, [*(said[k] for k in range(1, order + 1)), model.answered[0]], n).mapInArrow(score, SCORES)
+    return _with_answers(buckets, [*(said[k] for k in range(1, order + 1)), answered[0]], n).mapInArrow(score, SCORES)
 
 
 def held_out(mod: int = 10, at: int = 0):
