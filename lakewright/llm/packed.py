@@ -15,8 +15,8 @@ from .common import parts_for, shuffle_parts
 PACKED = "part int, data binary"
 #: Text bytes in a bucket of documents.
 BUCKET_BYTES = 12 << 20
-#: Partitions of an exchange at most: of more buckets or shards, a task takes several, one after the other.
-MOST_PARTS = 20_000
+#: Buckets or shards that a task takes, one after the other, and partitions of an exchange at most, beyond which it takes more.
+PARTS_A_TASK, MOST_PARTS = 4, 20_000
 #: The part of rows that count something over a whole pass.
 TOTALS = -1
 
@@ -54,7 +54,8 @@ def split(part: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.
 
 def dealt(df: DataFrame, parts: int, *order: str) -> DataFrame:
     """df dealt by its column part, which counts up to parts; each part's rows stand together, in the given order."""
-    n = min(parts, MOST_PARTS)
+    busy = 2 * df.sparkSession.sparkContext.defaultParallelism
+    n = min(parts, max(parts // PARTS_A_TASK, busy), MOST_PARTS)
     return df.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part", *order)
 
 
