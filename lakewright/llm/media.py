@@ -1,21 +1,22 @@
-"""Media columns of lossless WebP images: bytes stored as 8-bit samples, and read back as pixel arrays."""
+"""Media columns of lossless WebP images: bytes stored as grey pixels, and read back as pixel arrays."""
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import webp
+from . import payloads
 from .common import binaries, bound_batches
 
 UNIT = 64
-#: Bytes of media in an Arrow batch that is handed on.
-_FLUSH = 8 << 20
+#: Bytes of payload, and payloads, that a task encodes together, and that it decodes.
+TO_ENCODE, TO_DECODE, MOST = 2 << 20, 6 << 20, 4000
 
 
 def padded(text: bytes | None) -> bytes:
@@ -24,69 +25,83 @@ def padded(text: bytes | None) -> bytes:
     return text + bytes(-len(text) % UNIT if text else UNIT)
 
 
-def _batches(rows, schema: pa.Schema, weight):
-    held, size = [], 0
+def padded_size(n: int) -> int:
+    return max(UNIT, n + -n % UNIT)
+
+
+def _together(rows: Iterator[tuple], size, enough: int) -> Iterator[list[tuple]]:
+    held, total = [], 0
     for row in rows:
         held.append(row)
-        size += weight(row)
-        if size >= _FLUSH or len(held) >= 1000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held, size = [], 0
+        total += size(row)
+        if total >= enough or len(held) >= MOST:
+            yield held
+            held, total = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+        yield held
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
 def with_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media per row of docs (doc_id, text): the padded text as lossless WebP.
+    """doc_id, n_bytes, media per row of docs (doc_id, text): the padded text as one lossless WebP file.
 
-    Null is as empty: 64 zero bytes. Texts of over a mebibyte become several files in one value.
-    Repeated rows repeat, ids may be null, no rows give no rows.
+    Null is as empty: 64 zero bytes. Repeated rows repeat, ids may be null, no rows give no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def each(batches):
-        rows = ((i, len(t or b""), webp.encode_payload(padded(t))) for b in batches for i, t in zip(b.column(0).to_pylist(), binaries(b.column(1))))
-        yield from _batches(rows, schema, lambda r: len(r[2]))
+        rows = ((i, len(t or b""), padded(t)) for b in batches for i, t in zip(b.column(0).to_pylist(), binaries(b.column(1))))
+        for held in _together(rows, lambda r: len(r[2]), TO_ENCODE):
+            media = payloads.encode([p for _, _, p in held])
+            yield _batch([(i, n, m) for (i, n, _), m in zip(held, media)], schema)
 
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, n_bytes long, media binary")
 
 
+def _decoded(batches) -> Iterator[list[tuple]]:
+    """(doc_id, n_bytes, media, pixels, payload) of rows (doc_id, n_bytes, media), some together."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    for held in _together(rows, lambda r: padded_size(r[1]), TO_DECODE):
+        found = payloads.decode([m for _, _, m in held], [padded_size(n) for _, n, _ in held])
+        yield [(*row, *own) for row, own in zip(held, found)]
+
+
 def with_pixels(media: DataFrame) -> DataFrame:
-    """media's rows (doc_id, n_bytes, media) with pixels (bytes in the order alpha, red, green, blue), width and height of the image or images, stacked."""
+    """media's rows (doc_id, n_bytes, media) with the image's width, height and pixels: four bytes each, alpha, red, green, blue, row by row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
 
-    def row(i, n, m):
-        found = list(webp.images(m))
-        return i, n, m, found[0].shape[1], sum(len(p) for p in found), b"".join(p.astype(">u4").tobytes() for p in found)
-
     def each(batches):
-        yield from _batches((row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), schema, lambda r: len(r[5]))
+        for held in _decoded(batches):
+            yield _batch([(i, n, m, p.shape[1], p.shape[0], p.astype(">u4").tobytes()) for i, n, m, p, _ in held], schema)
 
     bound_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(each, "doc_id long, n_bytes long, media binary, width int, height int, pixels binary")
 
 
-def feature(pixels: bytes) -> str:
-    """Mean and deviation of each channel, and the share of steps between neighbours that rise, in thousandths."""
-    c = np.frombuffer(pixels, np.uint8).reshape(-1, 4)
-    n, total = len(c), c.sum(0, dtype=np.int64)
-    square = (c.astype(np.int64) ** 2).sum(0)
-    deviation = np.sqrt(np.maximum(square * n - total * total, 0)) / n
-    rising = int(np.count_nonzero(c[1:] > c[:-1])) * 1000 // max(1, 4 * (n - 1))
-    return ",".join([f"{x:.3f}" for x in (total / n).tolist() + deviation.tolist()] + [str(rising)])
+def feature(pixels: np.ndarray) -> str:
+    """Mean and deviation of the green of an image's pixels, the values it has, and in thousandths how often it rises to the right and downwards."""
+    green = ((pixels >> np.uint32(8)) & np.uint32(255)).astype(np.uint8)
+    n, counts, value = green.size, np.bincount(green.ravel(), minlength=256), np.arange(256)
+    total, square = int(counts @ value), int(counts @ (value * value))
+    deviation = max(square * n - total * total, 0) ** 0.5 / n
+    right, down = (int(np.count_nonzero(a > b)) * 1000 // n for a, b in ((green[:, 1:], green[:, :-1]), (green[1:], green[:-1])))
+    return f"{total / n:.3f},{deviation:.3f},{np.count_nonzero(counts)},{right},{down}"
 
 
 def digests(media: DataFrame) -> DataFrame:
     """What is read back from media (doc_id, n_bytes, media): sizes, digests and the feature."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
-    def row(i, n, m):
-        p = webp.decode_payload(m)
-        return i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)
+    def row(i, n, m, pixels, p):
+        return i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(pixels)
 
     def each(batches):
-        yield from _batches((row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), schema, lambda r: 0)
+        for held in _decoded(batches):
+            yield _batch([row(*r) for r in held], schema)
 
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     bound_batches(media.sparkSession)

@@ -2,8 +2,8 @@
 
 Format: RFC 9649. The decoder reads prefix codes, back-references and colour caches, groups of
 codes over a meta image, and inverts the predictor, cross-colour, subtract-green and palette
-transforms. Pixels are ARGB in uint32. An image whose codes all have one length in each channel,
-which is what ``encode_payload`` writes, is decoded by array operations; others pixel by pixel.
+transforms. Pixels are ARGB in uint32. ``decode_many`` reads the symbols of grey images together, by
+array operations over the images; of others, and of the longest of the grey ones, one by one.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import heapq
 import struct
 from collections import Counter
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -22,9 +24,8 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE = 16384
 OPAQUE = 0xFF000000
-#: encode_payload's width: 16 pixels are 64 bytes.
-WIDTH = 16
-IMAGE_BYTES = WIDTH * MAX_SIDE * 4
+#: Images that are left when decoding goes on one by one: fewer are not worth array operations.
+FEW = 40
 
 
 class FormatError(ValueError):
@@ -50,63 +51,47 @@ class Bits:
             raise FormatError("the data end early")
         return (int.from_bytes(self.data[at >> 3 : (self.at + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
 
-    def array(self, n: int) -> np.ndarray:
-        """The next n bits, one in each element."""
-        at, self.at = self.at, self.at + n
-        if self.at > self.end:
-            raise FormatError("the data end early")
-        raw = np.frombuffer(self.data, np.uint8, ((self.at + 7) >> 3) - (at >> 3), at >> 3)
-        return np.unpackbits(raw, bitorder="little")[at & 7 : (at & 7) + n]
-
-
-class Code:
-    """A canonical prefix code: width is the length of all symbols if they have the same, else None."""
-
-    def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
-        if not len(used):
-            used, kinds = np.zeros(1, np.int64), []
-        else:
-            kinds = np.unique(lengths[used]).tolist()
-        self.table: dict[tuple[int, int], int] | None = None
-        if len(used) == 1:
-            self.width, self.symbols = 0, used
-        elif len(kinds) == 1:
-            self.width = kinds[0]
-            if len(used) != 1 << self.width:
-                raise FormatError("an incomplete code")
-            self.symbols = used[_reversed_order(self.width)]
-        else:
-            self.width, self.symbols, self.table = None, used, {}
-            code = last = 0
-            for length, symbol in sorted(zip(lengths[used].tolist(), used.tolist())):
-                code <<= length - last
-                self.table[length, code] = symbol
-                code, last = code + 1, length
-            if code != 1 << last:
-                raise FormatError("an incomplete code")
-
-    def read(self, bits: Bits) -> int:
-        if self.width is not None:
-            return int(self.symbols[bits.read(self.width)])
-        code = length = 0
-        while True:
-            code, length = code << 1 | bits.read(1), length + 1
-            if (symbol := self.table.get((length, code))) is not None:
-                return symbol
-            if length > 15:
-                raise FormatError("no such code")
+    def peek(self, n: int) -> int:
+        """The next n bits, zeros after the end."""
+        return (int.from_bytes(self.data[self.at >> 3 : (self.at + n + 7) >> 3], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
 
 _ORDERS: dict[int, np.ndarray] = {}
 
 
 def _reversed_order(n: int) -> np.ndarray:
+    """The numbers of n bits, each with its bits reversed."""
     if n not in _ORDERS:
         _ORDERS[n] = np.array([_reverse(i, n) for i in range(1 << n)])
     return _ORDERS[n]
 
 
+class Code:
+    """A canonical prefix code. table: for the next bits, as many as the longest symbol has, 16 times the symbol plus its length."""
+
+    def __init__(self, lengths: np.ndarray):
+        used = np.flatnonzero(lengths)
+        self.bits = 0
+        if len(used) <= 1:
+            self.table = (used if len(used) else np.zeros(1, np.int64)).astype(np.uint32) << np.uint32(4)
+            return
+        own = lengths[used]
+        order = np.argsort(own, kind="stable")
+        own, used = own[order], used[order]
+        self.bits = int(own[-1])
+        room = 1 << (self.bits - own)
+        if room.sum() != 1 << self.bits:
+            raise FormatError("an incomplete code")
+        self.table = np.repeat((used << 4 | own).astype(np.uint32), room)[_reversed_order(self.bits)]
+
+    def read(self, bits: Bits) -> int:
+        entry = int(self.table[bits.peek(self.bits)])
+        bits.at += entry & 15
+        if bits.at > bits.end:
+            raise FormatError("the data end early")
+        return entry >> 4
+
+
 def read_code(bits: Bits, size: int) -> Code:
     lengths = np.zeros(size, np.int64)
     if bits.read(1):
@@ -120,10 +105,6 @@ def read_code(bits: Bits, size: int) -> Code:
         kinds[i] = bits.read(3)
     kind = Code(kinds)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    if kind.width in (0, 1) and kind.symbols.max() < 16:
-        n = min(most, size)
-        lengths[:n] = kind.symbols[bits.array(n)] if kind.width else kind.symbols[0]
-        return Code(lengths)
     at, last = 0, 8
     while at < size and most:
         most -= 1
@@ -154,30 +135,56 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def _side(n: int, bits: int) -> int:
+def side(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """Pixels of an entropy-coded image, before any transform."""
+@dataclass
+class Coded:
+    """An entropy-coded image whose codes have been read, and not its pixels."""
+
+    width: int
+    n: int
+    cache_bits: int
+    groups: list[list[Code]]
+    meta: np.ndarray | None
+    meta_bits: int
+
+
+def read_codes(bits: Bits, width: int, height: int, main: bool) -> Coded:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise FormatError("too large a colour cache")
     meta, meta_bits, groups = None, 0, 1
     if main and bits.read(1):
         meta_bits = bits.read(3) + 2
-        meta = (read_image(bits, _side(width, meta_bits), _side(height, meta_bits), False) >> 8) & 0xFFFF
-        meta, groups = meta.reshape(_side(height, meta_bits), -1), int(meta.max()) + 1
+        meta = (read_image(bits, side(width, meta_bits), side(height, meta_bits), False) >> 8) & 0xFFFF
+        meta, groups = meta.reshape(side(height, meta_bits), -1), int(meta.max()) + 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
-    n = width * height
-    if groups == 1 and not cache_bits and all(c.width is not None for c in codes[0][:4]) and codes[0][0].symbols.max() < 256:
-        return _read_even(bits, n, codes[0])
-    out, at = np.zeros(n, np.uint32), 0
+    return Coded(width, width * height, cache_bits, [[read_code(bits, n) for n in sizes] for _ in range(groups)], meta, meta_bits)
+
+
+def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """Pixels of an entropy-coded image, before any transform."""
+    image = read_codes(bits, width, height, main)
+    out = np.zeros(image.n, np.uint32)
+    read_pixels(bits, image, out, 0)
+    return out
+
+
+def read_pixels(bits: Bits, image: Coded, out: np.ndarray, at: int) -> None:
+    """The image's pixels from place at on, symbol by symbol, into out, which has those before it."""
+    n, width, cache_bits, meta, meta_bits = image.n, image.width, image.cache_bits, image.meta, image.meta_bits
+    if is_grey(image):
+        try:
+            _read_grey(bits, image, out, at)
+        except IndexError:  # of the words of data
+            raise FormatError("the data end early") from None
+        return
     cache = [0] * (1 << cache_bits)
     pixels = out.tolist()
     while at < n:
-        green, red, blue, alpha, distance = codes[meta[(at // width) >> meta_bits, (at % width) >> meta_bits] if meta is not None else 0]
+        green, red, blue, alpha, distance = image.groups[meta[(at // width) >> meta_bits, (at % width) >> meta_bits] if meta is not None else 0]
         symbol, start = green.read(bits), at
         if symbol < 256:
             r, b = red.read(bits), blue.read(bits)
@@ -197,23 +204,131 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         if cache_bits:
             for p in pixels[start:at]:
                 cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-    return np.array(pixels, np.uint32)
-
-
-def _read_even(bits: Bits, n: int, codes: list[Code]) -> np.ndarray:
-    """n literal pixels whose channels' codes each have one length."""
-    widths = [c.width for c in codes[:4]]
-    total, out, at = sum(widths), np.zeros(n, np.uint32), 0
-    raw = np.zeros((n, 32), np.uint8)
-    if total:
-        raw[:, :total] = bits.array(n * total).reshape(n, total)
-    value = np.packbits(raw, axis=1, bitorder="little").view(np.uint32).ravel()
-    for c, shift in zip(codes, (8, 16, 0, 24)):
-        out |= c.symbols.astype(np.uint32)[(value >> np.uint32(at)) & np.uint32((1 << c.width) - 1)] << np.uint32(shift)
-        at += c.width
-        if at == 32:
-            at = 31  # the last channel has been read
-    return out
+    out[:] = pixels
+
+
+def _read_grey(bits: Bits, image: Coded, out: np.ndarray, at: int) -> None:
+    """read_pixels where red, blue and alpha are the same everywhere and there is no cache: bits pass through one integer."""
+    (green, *rest, distance), n, width = image.groups[0], image.n, image.width
+    table, mask = green.table.tolist(), (1 << green.bits) - 1
+    red, blue, alpha = (int(c.table[0]) >> 4 for c in rest)
+    fixed = alpha << 24 | red << 16 | blue
+    first = bits.at >> 5
+    words = np.frombuffer(bits.data + bytes(-len(bits.data) % 4 + 8), "<u4")[first:].tolist()
+    held, have, k = words[0] >> (bits.at & 31), 32 - (bits.at & 31), 1
+    run: list[int] = []
+    add, left = run.append, n - at
+    while left:
+        if have < 32:
+            held, have, k = held | words[k] << have, have + 32, k + 1
+        entry = table[held & mask]
+        size = entry & 15
+        held, have = held >> size, have - size
+        if entry < 4096:  # a symbol below 256
+            add(entry)
+            left -= 1
+            continue
+        if run:
+            out[at : at + len(run)] = np.array(run, np.uint32) >> np.uint32(4) << np.uint32(8) | np.uint32(fixed)
+            at += len(run)
+            run.clear()
+        bits.at = 32 * (first + k) - have
+        length = _prefixed(bits, (entry >> 4) - 256)
+        back = _distance(_prefixed(bits, distance.read(bits)), width)
+        if back > at or at + length > n:
+            raise FormatError("a reference out of the image")
+        _repeat(out, at, length, back)
+        at, left = at + length, left - length
+        k = (bits.at >> 5) - first
+        held, have, k = words[k] >> (bits.at & 31), 32 - (bits.at & 31), k + 1
+    if run:
+        out[at : at + len(run)] = np.array(run, np.uint32) >> np.uint32(4) << np.uint32(8) | np.uint32(fixed)
+    bits.at = 32 * (first + k) - have
+    if bits.at > bits.end:
+        raise FormatError("the data end early")
+
+
+def _repeat(out: np.ndarray, at: int, length: int, back: int) -> None:
+    if back >= length:
+        out[at : at + length] = out[at - back : at - back + length]
+    else:
+        out[at : at + length] = np.resize(out[at - back : at], length)
+
+
+_NEAR_X, _NEAR_Y = (np.array([0, *(p[k] for p in NEAR)], np.int64) for k in (0, 1))
+
+
+def is_grey(image: Coded) -> bool:
+    """Whether only green varies, by one group of codes and without cache."""
+    return image.meta is None and not image.cache_bits and not any(c.bits for c in image.groups[0][1:4])
+
+
+def read_together(images: list[tuple[Bits, Coded]]) -> list[np.ndarray]:
+    """Pixels of grey images. A step reads a symbol of each: pixels are set, and an image whose next symbol is
+    a reference waits until a third of them do; then all their references are copied."""
+    sizes = np.array([i.n for _, i in images], np.int64)
+    # A place after each image takes what is read when it is done.
+    first = np.cumsum(sizes + 1) - sizes - 1
+    out = np.zeros(int((sizes + 1).sum()), np.uint32)
+    parts = [out[f : f + n] for f, n in zip(first.tolist(), sizes.tolist())]
+    rest = [(k, 0, b.at) for k, (b, _) in enumerate(images)]
+    if len(images) > FEW:
+        raw = b"".join(x for b, _ in images for x in (b.data, bytes(16)))
+        view = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+        shift = 8 * np.cumsum([0, *(len(b.data) + 16 for b, _ in images[:-1])])
+        tables = [[i.groups[0][j].table for _, i in images] for j in (0, 4)]
+        table, far_table = (np.concatenate(t).astype(np.int64) for t in tables)
+        offset, far_offset = (np.cumsum([0, *map(len, t[:-1])]) for t in tables)
+        mask, far_mask = (np.array([(1 << i.groups[0][j].bits) - 1 for _, i in images], np.uint64) for j in (0, 4))
+        fixed = np.array([sum((int(c.table[0]) >> 4) << s for c, s in zip(i.groups[0][1:4], (16, 0, 24))) for _, i in images], np.int64)
+        width = np.array([i.width for _, i in images], np.int64)
+        lane, place, end = np.arange(len(images)), first.copy(), first + sizes
+        bit, most = np.array([b.at for b, _ in images], np.int64) + shift, 8 * (len(raw) - 8)
+        low = lambda b: view[b >> 3] >> (b & 7).astype(np.uint64)
+
+        def prefixed(prefix, b):
+            extra = np.maximum(prefix - 2, 0) >> 1
+            value = low(b) & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))
+            return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + value.astype(np.int64)) + 1, b + extra
+
+        while len(lane) > FEW:
+            enough = 2 * len(lane) // 3
+            while True:
+                entry = table[offset + (low(bit) & mask).astype(np.int64)]
+                plain = (entry < 4096) & (place < end)  # symbols below 256
+                if np.count_nonzero(plain) < enough:
+                    break
+                out[place] = fixed | entry >> 4 << 8
+                bit += (entry & 15) * plain
+                place += plain
+            c = np.flatnonzero((entry >= 4096) & (place < end))
+            if len(c):
+                entry, b = entry[c], np.minimum(bit[c], most)  # a broken file ends in an error
+                length, b = prefixed((entry >> 4) - 256, b + (entry & 15))
+                entry = far_table[far_offset[c] + (low(np.minimum(b, most)) & far_mask[c]).astype(np.int64)]
+                code, bit[c] = prefixed(entry >> 4, np.minimum(b + (entry & 15), most))
+                near = np.minimum(code, len(NEAR))
+                back = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width[c]))
+                if (back > place[c] - first[c]).any() or (place[c] + length > end[c]).any():
+                    raise FormatError("a reference out of the image")
+                for p, n, d in zip(place[c].tolist(), length.tolist(), back.tolist()):
+                    _repeat(out, p, n, d)
+                place[c] += length
+            bit = np.minimum(bit, most)
+            on = place < end
+            if not on.all():
+                for k, b in zip(lane[~on].tolist(), (bit - shift)[~on].tolist()):
+                    if b > images[k][0].end:
+                        raise FormatError("the data end early")
+                lane, place, bit, end, first, shift, width, fixed, offset, mask, far_offset, far_mask = (
+                    x[on] for x in (lane, place, bit, end, first, shift, width, fixed, offset, mask, far_offset, far_mask)
+                )
+        rest = zip(lane.tolist(), (place - first).tolist(), (bit - shift).tolist())
+    for k, done, b in rest:
+        bits, image = images[k]
+        bits.at = b
+        read_pixels(bits, image, parts[k], done)
+    return parts
 
 
 # Transforms
@@ -260,6 +375,15 @@ def _mode(modes: np.ndarray, size: int, x: int, y: int) -> int:
 def undo_predictor(c: np.ndarray, modes: np.ndarray, size: int) -> np.ndarray:
     """c: residuals (height, width, 4). The pixel after a row's last is the next row's first."""
     h, w, _ = c.shape
+    if (only := set(modes.ravel().tolist())) in ({1}, {2}):
+        # Sums along rows or columns, from the first pixel, whose prediction is opaque black.
+        c = c.copy()
+        c[0, 0, 0] += 255
+        if only == {1}:
+            c[:, 0] = np.cumsum(c[:, 0], 0)
+            return np.cumsum(c, 1) & 255
+        c[0] = np.cumsum(c[0], 0)
+        return np.cumsum(c, 0) & 255
     flat = c.reshape(-1, 4).copy()
     zero = np.zeros(4, np.int64)
     for i in range(h * w):
@@ -271,6 +395,16 @@ def undo_predictor(c: np.ndarray, modes: np.ndarray, size: int) -> np.ndarray:
 
 def do_predictor(c: np.ndarray, modes: np.ndarray, size: int) -> np.ndarray:
     h, w, _ = c.shape
+    if (only := set(modes.ravel().tolist())) in ({1}, {2}):
+        out = c.copy()
+        out[0, 1:] -= c[0, :-1]
+        out[1:, 0] -= c[:-1, 0]
+        out[0, 0, 0] -= 255
+        if only == {1}:
+            out[1:, 1:] -= c[1:, :-1]
+        else:
+            out[1:, 1:] -= c[:-1, 1:]
+        return out & 255
     flat, out, zero = c.reshape(-1, 4), c.reshape(-1, 4).copy(), np.zeros(4, np.int64)
     for i in range(h * w):
         y, x = divmod(i, w)
@@ -294,21 +428,21 @@ def cross_colour(c: np.ndarray, elements: np.ndarray, size: int, sign: int) -> n
     return out
 
 
-def _palette_bits(n: int) -> int:
+def palette_bits(n: int) -> int:
     return 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
 
 
 def undo_palette(pixels: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
     """pixels (height, packed width): indices in green, several to a pixel where the palette is small."""
-    bits = _palette_bits(len(table))
+    bits = palette_bits(len(table))
     green = (pixels >> np.uint32(8)) & np.uint32(255)
     per, depth = 1 << bits, 8 >> bits
     index = np.stack([(green >> np.uint32(i * depth)) & np.uint32((1 << depth) - 1) for i in range(per)], -1).reshape(len(pixels), -1)[:, :width]
     return np.append(table, np.zeros(256, np.uint32))[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width) of one lossless WebP file."""
+def _read_head(data: bytes) -> tuple[Bits, Coded, int, list]:
+    """(the bits, the main image's codes, its height, the transforms to undo)."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise FormatError("not a lossless WebP file")
     bits = Bits(data[20 : 20 + struct.unpack_from("<I", data, 16)[0]])
@@ -322,16 +456,19 @@ def decode(data: bytes) -> np.ndarray:
         kind = bits.read(2)
         if kind in (PREDICTOR, CROSS_COLOUR):
             size = bits.read(3) + 2
-            w, h = _side(width, size), _side(height, size)
+            w, h = side(width, size), side(height, size)
             undo.append((kind, read_image(bits, w, h, False).reshape(h, w), size, width))
         elif kind == PALETTE:
             n = bits.read(8) + 1
             table = joined(np.cumsum(channels(read_image(bits, n, 1, False)), 0))
             undo.append((kind, table, 0, width))
-            width = _side(width, _palette_bits(n))
+            width = side(width, palette_bits(n))
         else:
             undo.append((kind, None, 0, width))
-    pixels = read_image(bits, width, height, True).reshape(height, width)
+    return bits, read_codes(bits, width, height, True), height, undo
+
+
+def _undone(pixels: np.ndarray, undo: list) -> np.ndarray:
     for kind, image, size, w in reversed(undo):
         if kind == PALETTE:
             pixels = undo_palette(pixels, image, w)
@@ -348,55 +485,105 @@ def decode(data: bytes) -> np.ndarray:
     return pixels
 
 
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """Pixels (height, width) of each of the lossless WebP files."""
+    heads, pixels = [_read_head(f) for f in files], [None] * len(files)
+    together = [k for k, (_, image, _, _) in enumerate(heads) if is_grey(image)]
+    for k, p in zip(together, read_together([heads[k][:2] for k in together])):
+        pixels[k] = p
+    for k, (bits, image, height, undo) in enumerate(heads):
+        if pixels[k] is None:
+            pixels[k] = np.zeros(image.n, np.uint32)
+            read_pixels(bits, image, pixels[k], 0)
+        pixels[k] = _undone(pixels[k].reshape(height, image.width), undo)
+    return pixels
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Pixels (height, width) of one lossless WebP file."""
+    return decode_many([data])[0]
+
+
 # Writing
 
 
+def pack(values: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The values' low bits, one after the other, as the byte strings that end before the entries ends."""
+    sizes = sizes.astype(np.int64)
+    at = np.cumsum(sizes) - sizes
+    begins = np.concatenate([[0], ends[:-1]])
+    total = np.add.reduceat(sizes, begins)
+    words = (total + 127) // 64  # whole words for each string, and one that spills
+    base = np.cumsum(words) - words
+    at += np.repeat(64 * base - at[begins], np.diff(np.append(begins, len(sizes))))
+    out = np.zeros(int(words.sum()), np.uint64)
+    word, low, values = at >> 6, (at & 63).astype(np.uint64), values.astype(np.uint64)
+    # The bits of entries are apart, so adding them is joining them.
+    np.add.at(out, word, values << low)
+    over = np.flatnonzero((at & 63) + sizes > 64)
+    np.add.at(out, word[over] + 1, values[over] >> (np.uint64(64) - low[over]))
+    raw = out.astype("<u8").tobytes()
+    return [raw[8 * b : 8 * b + (n + 7) // 8] for b, n in zip(base.tolist(), total.tolist())]
+
+
 class Writer:
     def __init__(self):
-        self.parts: list[np.ndarray] = []
+        self.values: list[int] = []
+        self.sizes: list[int] = []
 
     def put(self, value: int, n: int) -> None:
         if n:
-            self.parts.append(np.unpackbits(np.frombuffer(value.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n])
+            self.values.append(value)
+            self.sizes.append(n)
 
     def bytes(self) -> bytes:
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return pack(np.array(self.values, np.uint64), np.array(self.sizes), np.array([len(self.sizes)]))[0]
 
 
-def _lengths(counts: Counter, size: int) -> np.ndarray:
+def code_lengths(counts: Mapping[int, int], size: int) -> np.ndarray:
     """Huffman code lengths of at most 15 bits."""
     out = np.zeros(size, np.int64)
-    flat = 0
+    symbols, flat = sorted(counts), 0
+    if len(symbols) == 1:
+        out[symbols[0]] = 1
+        return out
     while True:
-        heap = [(max(n, 1) + flat, i, (s,)) for i, (s, n) in enumerate(sorted(counts.items()))]
+        heap = [(max(counts[s], 1) + flat, i) for i, s in enumerate(symbols)]
         heapq.heapify(heap)
-        out[:] = 0
-        if len(heap) == 1:
-            out[heap[0][2][0]] = 1
-        while len(heap) > 1:
-            (a, i, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            for s in x + y:
-                out[s] += 1
-            heapq.heappush(heap, (a + b, i, x + y))
-        if out.max(initial=0) <= 15:
+        parent = [0] * (2 * len(symbols) - 1)
+        for node in range(len(symbols), 2 * len(symbols) - 1):
+            a, i = heapq.heappop(heap)
+            b, j = heap[0]
+            heapq.heapreplace(heap, (a + b, node))
+            parent[i] = parent[j] = node
+        depth = [0] * len(parent)
+        for i in range(len(parent) - 2, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth[: len(symbols)], default=0) <= 15:
+            out[symbols] = depth[: len(symbols)]
             return out
         flat = 2 * flat + 1 + sum(counts.values()) // 1000
 
 
-def _canonical(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
-    """symbol -> (bits as they are written, how many)."""
+def codes(lengths: np.ndarray) -> np.ndarray:
+    """Each symbol's bits as they are written, of a canonical code of two symbols or more."""
     used = np.flatnonzero(lengths)
-    if len(used) <= 1:
-        return {int(s): (0, 0) for s in used}
-    out, code, last = {}, 0, 0
-    for length, symbol in sorted(zip(lengths[used].tolist(), used.tolist())):
-        code <<= length - last
-        out[symbol] = (_reverse(code, length), length)
-        code, last = code + 1, length
+    used = used[np.argsort(lengths[used], kind="stable")]
+    room = 1 << (15 - lengths[used])
+    out = np.zeros(len(lengths), np.int64)
+    out[used] = _reversed_order(15)[np.cumsum(room) - room]
     return out
 
 
-def _put_code(w: Writer, lengths: np.ndarray) -> None:
+def canonical(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
+    """symbol -> (bits as they are written, how many)."""
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) <= 1:
+        return {s: (0, 0) for s in used}
+    return dict(zip(used, zip(codes(lengths)[used].tolist(), lengths[used].tolist())))
+
+
+def put_code(w: Writer, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and used.max(initial=0) < 256:
         w.put(1, 1)
@@ -406,27 +593,36 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
             w.put(s, 8)
         return
     w.put(0, 1)
-    kinds = sorted(set(lengths.tolist()))
-    own = np.zeros(19, np.int64)
-    if len(kinds) <= 2:
-        own[kinds] = 1
-    else:
-        own = _lengths(Counter({k: int(np.count_nonzero(lengths == k)) for k in kinds}), 19)
-        if own.max() > 7:
-            own[:] = 0
-            own[[*range(16)]] = 4
-    last = max(i for i, k in enumerate(LENGTH_ORDER) if own[k])
-    n = max(4, last + 1)
+    # Lengths as symbols: runs of zeros are one.
+    last = 0
+    runs: list[tuple[int, int, int]] = []
+    for u in used.tolist():
+        gap = u - last
+        while gap > 2:
+            n = min(gap, 138)
+            runs.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
+            gap -= n
+        runs += [(0, 0, 0)] * gap + [(int(lengths[u]), 0, 0)]
+        last = u + 1
+    counts = Counter(r[0] for r in runs)
+    own = code_lengths(counts, 19)
+    if own.max() > 7:
+        own[:] = 0
+        own[[*range(13)]] = 4
+        own[[13, 14, 15, 16, 17, 18]] = 5
+    n = max(4, max(i for i, k in enumerate(LENGTH_ORDER) if own[k]) + 1)
     w.put(n - 4, 4)
     for k in LENGTH_ORDER[:n]:
         w.put(int(own[k]), 3)
-    w.put(0, 1)
-    if len(kinds) == 2 and own.sum() == 2:
-        w.parts.append((lengths == kinds[1]).astype(np.uint8))
-    elif len(kinds) > 2:
-        codes = _canonical(own)
-        for x in lengths.tolist():
-            w.put(*codes[x])
+    # Only so many symbols follow, two at least: lengths of zero after them are left out.
+    table, many = canonical(own), (len(runs) - 2).bit_length()
+    many = max(2, many + many % 2)
+    w.put(1, 1)
+    w.put((many - 2) // 2, 3)
+    w.put(len(runs) - 2, many)
+    for symbol, extra, size in runs:
+        w.put(*table[symbol])
+        w.put(extra, size)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -464,7 +660,7 @@ def _tokens(pixels: list[int], width: int, cache_bits: int, references: bool) ->
     return out
 
 
-def _put_image(w: Writer, pixels: np.ndarray, cache_bits: int = 0, references: bool = False, main: bool = False, meta_bits: int = 0) -> None:
+def put_image(w: Writer, pixels: np.ndarray, cache_bits: int = 0, references: bool = False, main: bool = False, meta_bits: int = 0) -> None:
     height, width = pixels.shape
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
@@ -474,10 +670,10 @@ def _put_image(w: Writer, pixels: np.ndarray, cache_bits: int = 0, references: b
         w.put(int(meta_bits > 0), 1)
     groups, group_of = 1, lambda at: 0
     if main and meta_bits:
-        h, wide = _side(height, meta_bits), _side(width, meta_bits)
+        h, wide = side(height, meta_bits), side(width, meta_bits)
         w.put(meta_bits - 2, 3)
         meta = (np.arange(h * wide) % 2).reshape(h, wide)
-        _put_image(w, (meta << 8).astype(np.uint32))
+        put_image(w, (meta << 8).astype(np.uint32))
         groups, group_of = int(meta.max()) + 1, lambda at: int(meta[(at // width) >> meta_bits, (at % width) >> meta_bits])
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     counts = [[Counter() for _ in sizes] for _ in range(groups)]
@@ -498,16 +694,16 @@ def _put_image(w: Writer, pixels: np.ndarray, cache_bits: int = 0, references: b
         at += t[1] if t[0] == "r" else 1
     tables = []
     for g in counts:
-        lengths = [_lengths(c, n) if c else np.zeros(n, np.int64) for c, n in zip(g, sizes)]
-        for x in lengths:
-            _put_code(w, x)
-        tables.append([_canonical(x) for x in lengths])
+        own = [code_lengths(c, n) if c else np.zeros(n, np.int64) for c, n in zip(g, sizes)]
+        for x in own:
+            put_code(w, x)
+        tables.append([canonical(x) for x in own])
     for g, parts in stream:
         for p in parts:
             w.put(*(p[1:] if p[0] is None else tables[g][p[0]][p[1]]))
 
 
-def _file(bits: bytes) -> bytes:
+def container(bits: bytes) -> bytes:
     pad = len(bits) % 2
     return b"RIFF" + struct.pack("<I", 12 + len(bits) + pad) + b"WEBPVP8L" + struct.pack("<I", len(bits)) + bits + b"\0" * pad
 
@@ -524,16 +720,16 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
     w = _start(width, height)
     for kind in transforms:
         w.put(1 | kind << 1, 3)
-        h, wide = _side(height, size), _side(pixels.shape[1], size)
+        h, wide = side(height, size), side(pixels.shape[1], size)
         if kind == PREDICTOR:
             own = np.resize(np.arange(14) if modes is None else modes, (h, wide))
             w.put(size - 2, 3)
-            _put_image(w, (own << 8).astype(np.uint32))
+            put_image(w, (own << 8).astype(np.uint32))
             pixels = joined(do_predictor(channels(pixels), own, size))
         elif kind == CROSS_COLOUR:
             own = np.resize(np.array([0x00123456, 0x00F0E1D2]) if elements is None else elements, (h, wide)).astype(np.uint32)
             w.put(size - 2, 3)
-            _put_image(w, own)
+            put_image(w, own)
             pixels = joined(cross_colour(channels(pixels), channels(own), size, -1))
         elif kind == SUBTRACT_GREEN:
             c = channels(pixels)
@@ -545,65 +741,11 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
             if len(table) > 256:
                 raise ValueError("a palette takes 256 colours at most")
             w.put(len(table) - 1, 8)
-            _put_image(w, joined(np.diff(channels(table), axis=0, prepend=0))[None])
-            per, depth = 1 << _palette_bits(len(table)), 8 >> _palette_bits(len(table))
+            put_image(w, joined(np.diff(channels(table), axis=0, prepend=0))[None])
+            per, depth = 1 << palette_bits(len(table)), 8 >> palette_bits(len(table))
             index = index.reshape(pixels.shape)
             index = np.pad(index, ((0, 0), (0, -index.shape[1] % per))).reshape(height, -1, per)
             pixels = ((index << (np.arange(per) * depth)).sum(-1) << 8).astype(np.uint32)
     w.put(0, 1)
-    _put_image(w, pixels, cache_bits, references, True, meta_bits)
-    return _file(w.bytes())
-
-
-# Bytes as samples
-
-
-def _encode_even(samples: np.ndarray) -> bytes:
-    """samples (pixels, 4) in the order alpha, red, green, blue, WIDTH pixels a row: each channel's used
-    values get codes of one length, so that the reader decodes the image by array operations."""
-    w = _start(WIDTH, len(samples) // WIDTH)
-    w.put(0, 3)  # no transform, no colour cache, no meta image
-    value, at = np.zeros(len(samples), np.uint64), 0
-    for channel, size in ((2, 280), (1, 256), (3, 256), (0, 256)):
-        own = samples[:, channel]
-        used = np.zeros(size, bool)
-        used[own] = True
-        n = int(np.count_nonzero(used))
-        depth = (n - 1).bit_length()
-        if depth and n < 1 << depth:
-            used[np.flatnonzero(~used[:256])[: (1 << depth) - n]] = True
-        lengths = used * max(depth, 1)
-        _put_code(w, lengths)
-        if depth:
-            code = np.zeros(256, np.uint64)
-            code[np.flatnonzero(used)] = _reversed_order(depth)
-            value |= code[own] << np.uint64(at)
-        at += depth
-    w.put(0x1, 1)  # distances: one symbol, 0
-    w.put(0, 3)
-    if at:
-        raw = np.unpackbits(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (at + 7) // 8], axis=1, bitorder="little")
-        w.parts.append(np.ascontiguousarray(raw[:, :at]).ravel())
-    return _file(w.bytes())
-
-
-def encode_payload(payload: bytes) -> bytes:
-    """A positive multiple of 64 bytes as lossless WebP: one file of WIDTH pixels' width, or several
-    files one after the other, each of IMAGE_BYTES at most."""
-    if not payload or len(payload) % 64:
-        raise ValueError("a payload has a positive multiple of 64 bytes")
-    samples = np.frombuffer(payload, np.uint8)
-    return b"".join(_encode_even(samples[i : i + IMAGE_BYTES].reshape(-1, 4)) for i in range(0, len(samples), IMAGE_BYTES))
-
-
-def images(media: bytes):
-    """The pixels of each file in media."""
-    at = 0
-    while at < len(media):
-        size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        yield decode(media[at : at + size])
-        at += size
-
-
-def decode_payload(media: bytes) -> bytes:
-    return b"".join(p.astype(">u4").tobytes() for p in images(media))
+    put_image(w, pixels, cache_bits, references, True, meta_bits)
+    return container(w.bytes())

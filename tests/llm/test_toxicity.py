@@ -22,6 +22,21 @@ def test_pairs_are_learned():
     assert score({1, 2, 100}) > 0.7 and max(score({1, 100}), score({2, 100}), score({100})) < 0.3
 
 
+def test_pairs_of_neutral_terms_are_learned():
+    """Each of two terms is as frequent in toxic as in other texts; only both or neither together are toxic."""
+    rng = np.random.default_rng(1)
+    docs, y = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        docs.append(set(rng.integers(100, 140, 5).tolist()) | ({1} if a else set()) | ({2} if b else set()))
+        y.append(a == b)
+    for term in (1, 2):
+        assert abs(np.mean([t for d, t in zip(docs, y) if term in d]) - np.mean(y)) < 0.05
+    m = machine(docs, y)
+    score = lambda d: m.scores([m.row[np.array(sorted(d))].astype(int)])[0]
+    assert min(score({1, 2, 100, 120}), score({100, 120})) > 0.7 and max(score({1, 100, 120}), score({2, 100, 120})) < 0.3
+
+
 def test_logits_are_the_plain_formula():
     rng = np.random.default_rng(2)
     m = toxicity.Machine(np.arange(10), 0.3, rng.normal(size=10), rng.normal(size=(10, 3)))
