@@ -10,7 +10,8 @@ a window, and a turn that lies across a block's end joins that window if it stil
 window of its own if not. Later windows repeat the system turn and the last turns before them, up
 to HISTORY_TURNS and HISTORY_TOKENS; what is repeated is masked, so that each assistant text is a
 target once. Running sums are taken over ranges of turns, and history comes from joins on the
-turn's number, so that a conversation of a third of all rows is spread like any other rows.
+turn's number; the system turn of a long conversation is broadcast to its turns. So a conversation of
+a third of all rows is spread like any other rows. Only ``digests`` needs a conversation in one row.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sums, written
+from .common import WORD, join_counted, prefix_sums, written
 
 BUDGET, HISTORY_TOKENS, HISTORY_TURNS, LEAST_SPAN = 512, 128, 4, 64
 #: Tokens of a turn's marks; words are the tokens of its text.
@@ -60,8 +61,10 @@ def formatted(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HIST
     go by role and text; repeated rows are turns of their own. No rows give no rows.
     """
     rows = _numbered(turns)
-    system = rows.filter("role = 'system'").groupBy(*CONV).agg(F.min(F.struct("index", "tokens", "text")).alias("system"))
-    rows = rows.join(system, CONV, "left")
+    spoken = F.when(F.col("role") == "system", F.struct("index", "tokens", "text"))
+    system = rows.groupBy(*CONV).agg(F.min(spoken).alias("system"), F.count("*").alias("n"))
+    total = rows.count()
+    rows = join_counted(rows, system, CONV, total)
     span = F.greatest(F.lit(budget) - F.coalesce("system.tokens", F.lit(0)) - F.lit(history_tokens), F.lit(LEAST_SPAN))
     block, last = F.floor(F.col("before") / span), F.floor((F.col("after") - 1) / span)
     rows = rows.withColumns({"span": span, "slot": 2 * block + (block != last).cast("int")})
@@ -75,7 +78,7 @@ def formatted(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HIST
     wanted = first.select("*", F.explode(F.sequence(F.lit(1), F.lit(history_turns))).alias("back")).filter("first >= back").withColumn("index", F.col("first") - F.col("back"))
     history = wanted.join(rows.select(*CONV, "index", "role", "text", "tokens", "before"), [*CONV, "index"])
     history = history.filter((F.col("start") - F.col("before") <= history_tokens) & ~F.coalesce(F.col("index") == F.col("system_index"), F.lit(False)))
-    kept = first.join(system, CONV).filter(F.col("first") > F.col("system.index"))
+    kept = join_counted(first, system.filter("system IS NOT NULL"), CONV, total).filter(F.col("first") > F.col("system.index"))
     piece = lambda role, text, tokens, order, repeated: [*CONV, "window", order.alias("order"), repeated.alias("repeated"), role.alias("role"), text.alias("text"), tokens.alias("tokens")]
     pieces = (
         rows.select(*piece(F.col("role"), F.col("text"), F.col("tokens"), F.col("index"), F.lit(False)))

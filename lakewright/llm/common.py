@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than ASCII space and 0x09-0x0D, which is w
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -42,8 +43,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Folders that this process made, without the scheme of local paths: nothing else is ever deleted.
+_MADE: set[str] = set()
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/*", "/", path)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
+    _MADE.add(_plain(path))
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -77,11 +88,44 @@ def numbered(df: DataFrame, name: str, order: Column, label: str) -> DataFrame:
     return written(ranged.drop("__hash").withColumn(name, F.monotonically_increasing_id()), label)
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df's rows are rows of files, each once."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and bool(df.inputFiles())
+
+
+def keyed(df: DataFrame, name: str, label: str) -> DataFrame:
+    """df with a column name: each row's own number. Rows read from files go by file and place in it, which
+    no retry changes, and nothing is copied; other rows are numbered as they are written."""
+    if not _is_scan(df):
+        return numbered(df, name, F.xxhash64(*df.columns), label)
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    # The files' names are what the driver plans the scan with.
+    files = sorted(r[0] for r in placed.select("__file").distinct().collect())
+    ordinals = df.sparkSession.createDataFrame(list(enumerate(files)), "__ordinal long, __file string")
+    placed = placed.join(F.broadcast(ordinals), "__file")
+    return placed.withColumn(name, F.shiftleft("__ordinal", 40).bitwiseOR(F.col("__place"))).select(*df.columns, name)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined with table, which has one row for each key and in n how many of the total rows have it.
+
+    Keys of a thousandth of the rows or more, a thousand at most, are broadcast, and their rows stay where
+    they are; only the rows of other keys are shuffled. So no key is a task of its own.
+    """
+    hot = F.col("n") * 1000 >= total
+    heavy, light = table.filter(hot).drop("n"), table.filter(~hot).drop("n")
+    cold = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(heavy), on).unionByName(cold.join(light, on))
+
+
 def remove(spark: SparkSession, df_or_path) -> None:
-    """Deletes what ``written`` made, when no later read needs it."""
+    """Deletes what ``written`` made, when no later read needs it; of other tables it deletes nothing."""
     paths = [df_or_path] if isinstance(df_or_path, str) else {p.rpartition("/")[0] for p in df_or_path.inputFiles()}
     for path in paths:
-        if "/llm/" in path:
+        if _plain(path) in _MADE or _plain(path).rpartition("/")[0] in _MADE:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -14,7 +14,7 @@ SALTS = 16
 def _with_minimum(edges: DataFrame) -> DataFrame:
     """edges (u, v) with m, the smallest v of each u."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).select("u", "v", "m")
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least.hint("shuffle_merge"), ["u", "salt"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

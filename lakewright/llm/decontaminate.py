@@ -1,8 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 A test item counts as contained in a document if the document has at least ``threshold`` of the
-item's distinct shingles of five words (letters A-Z lower-cased; a text of fewer words is one
-shingle, the whole sequence; none: no shingle).
+item's distinct shingles of five words (letters A-Z lower-cased). An item of fewer words is one
+shingle, the whole sequence, and looked for among the document's runs of as many words; an item
+without words is contained in nothing.
 
 Items are partitioned by size (powers of two of their shingle count). An item's sketch is a
 bottom-k MinHash: its k smallest shingle hashes, where k is one more than the shingles that a
@@ -36,48 +37,46 @@ SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_common long, contai
 
 
 def shingles(words: list[bytes], n: int = SHINGLE) -> set[bytes]:
-    if len(words) < n:
-        return {b" ".join(words)} if words else set()
+    """The distinct runs of n words."""
     return set(map(b" ".join, zip(*(words[i:] for i in range(n)))))
 
 
-def _hashes(words: list[bytes], n: int) -> np.ndarray:
-    if len(words) < n:
-        return word_hashes([b" ".join(words)]) if words else np.zeros(0, np.uint64)
-    return gram_hashes(word_hashes(words), n)
-
-
 class Block:
-    """A block of items: sketches by size partition, and the shingles for the verification."""
+    """A block of items: sketches by shingle length and size partition, and the shingles for the verification."""
 
     def __init__(self, items: list[tuple[int, bytes]], n: int, threshold: Fraction):
-        self.n, self.threshold, self.items = n, threshold, []
-        sketches: dict[int, list[tuple[int, int]]] = {}
+        self.threshold, self.items = threshold, []
+        sketches: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item_id, text in items:
             words = text.lower().split()
-            exact = shingles(words, n)
-            if not exact:
+            if not words:
                 continue
+            length = min(n, len(words))
+            exact = shingles(words, length)
             q = len(exact)
             most_missed = q - int(-(-q * threshold // 1))
-            hashes = np.unique(_hashes(words, n))[: most_missed + 1]
-            sketches.setdefault(q.bit_length(), []).extend((int(h), len(self.items)) for h in hashes)
-            self.items.append((item_id, exact))
-        self.partitions = []
-        for pairs in sketches.values():
-            pairs.sort()
-            least = min(len(self.items[i][1]) for _, i in pairs)
-            self.partitions.append((-(-least * threshold // 1), np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs])))
-        self.low = np.zeros(1 << 20, bool)
-        for _, h, _ in self.partitions:
-            self.low[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            hashes = np.unique(gram_hashes(word_hashes(words), length))[: most_missed + 1]
+            sketches.setdefault(length, {}).setdefault(q.bit_length(), []).extend((int(h), len(self.items)) for h in hashes)
+            self.items.append((item_id, length, exact))
+        #: By shingle length: low bits of all sketches, and the size partitions.
+        self.sketches: dict[int, tuple[np.ndarray, list]] = {}
+        for length, by_size in sketches.items():
+            low, partitions = np.zeros(1 << 20, bool), []
+            for pairs in by_size.values():
+                pairs.sort()
+                least = min(len(self.items[i][2]) for _, i in pairs)
+                partitions.append((-(-least * threshold // 1), np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs])))
+                low[(partitions[-1][1] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.sketches[length] = low, partitions
 
     def candidates(self, words: list[bytes]) -> set[int]:
-        h = _hashes(words, self.n)
-        h = h[self.low[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]]
-        found: set[int] = set()
-        if len(h):
-            for least, sketch, item in self.partitions:
+        hashes, found = word_hashes(words), set()
+        for length, (low, partitions) in self.sketches.items():
+            h = gram_hashes(hashes, length)
+            h = h[low[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]]
+            if not len(h):
+                continue
+            for least, sketch, item in partitions:
                 if len(words) >= least:  # a document has no more shingles than words
                     lo, hi = np.searchsorted(sketch, h, "left"), np.searchsorted(sketch, h, "right")
                     for a, b in zip(lo[hi > lo], hi[hi > lo]):
@@ -89,10 +88,13 @@ class Block:
         words = text.lower().split()
         if not (found := self.candidates(words)):
             return []
-        own, out = shingles(words, self.n), []
+        own: dict[int, set[bytes]] = {}
+        out = []
         for i in sorted(found):
-            item_id, exact = self.items[i]
-            common = len(exact & own)
+            item_id, length, exact = self.items[i]
+            if length not in own:
+                own[length] = shingles(words, length)
+            common = len(exact & own[length])
             if common >= self.threshold * len(exact):
                 out.append((item_id, len(exact), common))
         return out
@@ -155,9 +157,9 @@ def without_contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, thres
 ORACLE = r"""
 WITH iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-i AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS g FROM iw, range(1, greatest(len(w) - 3, 2)) r(p) WHERE len(w) > 0),
-d AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM dw, range(1, greatest(len(w) - 3, 2)) r(p) WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS g FROM iw, range(1, greatest(len(w) - 3, 2)) r(p) WHERE len(w) > 0),
+d AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM dw, (SELECT DISTINCT k FROM i) l(k), range(1, len(w) - k + 2) r(p)),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
-c AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN i USING (g) GROUP BY ALL)
+c AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN i USING (k, g) GROUP BY ALL)
 SELECT doc_id, item_id, n AS n_item_shingles, c AS n_common, c::DOUBLE / n AS containment FROM c JOIN n USING (item_id) WHERE c * 10 >= n * 8
 """

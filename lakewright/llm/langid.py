@@ -24,8 +24,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_TRAINING = 1000
 ROUNDS = 3
 SMOOTHING = 0.1
-#: Longer words are left out of the fitting (never of the scoring).
-LONGEST_FITTED = 40
+#: Longer words are fitted in logarithms, where their sums cannot vanish.
+LONG = 40
 UNDETERMINED = "und"
 _CHUNK, _CACHE = 1_000_000, 250_000
 
@@ -172,6 +172,45 @@ def expected_counts(words: list[str], n: np.ndarray, ids: dict[str, int], longes
     return np.bincount(t.piece, uses, len(p))
 
 
+def expected_counts_in_logs(words: list[str], n: np.ndarray, ids: dict[str, int], longest: int, p: np.ndarray) -> np.ndarray:
+    """expected_counts for words of any length."""
+    t, log = lattice(words, ids, longest), np.log(p)
+    width, many = int(t.sizes.max(initial=0)), len(words)
+
+    def sums(of: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Logarithms of the words' sums of exponentials, -inf where there is none."""
+        top = np.full(many, -np.inf)
+        np.maximum.at(top, of, values)
+        with np.errstate(divide="ignore"):
+            return np.where(np.isfinite(top), top, 0) + np.log(np.bincount(of, np.exp(values - top[of]), many))
+
+    alpha, beta = np.full((width + 1, many), -np.inf), np.full((width + 1, many), -np.inf)
+    alpha[0] = 0
+    at = np.searchsorted(t.end, np.arange(width + 2))
+    for e in range(1, width + 1):
+        s = slice(at[e], at[e + 1])
+        alpha[e] = sums(t.word[s], alpha[t.start[s], t.word[s]] + log[t.piece[s]])
+    beta[t.sizes, np.arange(many)] = 0
+    order = np.argsort(t.start, kind="stable")
+    at = np.searchsorted(t.start[order], np.arange(width + 2))
+    for i in range(width - 1, -1, -1):
+        s = order[at[i] : at[i + 1]]
+        beta[i] = np.logaddexp(beta[i], sums(t.word[s], log[t.piece[s]] + beta[t.end[s], t.word[s]]))
+    uses = np.exp(alpha[t.start, t.word] + log[t.piece] + beta[t.end, t.word] - alpha[t.sizes, np.arange(many)][t.word]) * n[t.word]
+    return np.bincount(t.piece, uses, len(p))
+
+
+def all_expected_counts(words: list[str], n: np.ndarray, ids: dict[str, int], longest: int, p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in all the words, chunk by chunk."""
+    out, times = np.zeros(len(p)), dict(zip(words, n.tolist()))
+    for chunk in _chunks(words):
+        short = [w for w in chunk if len(w) <= LONG]
+        for those, count in ((short, expected_counts), (chunk[len(short) :], expected_counts_in_logs)):
+            if those:
+                out += count(those, np.array([times[w] for w in those], float), ids, longest, p)
+    return out
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -180,8 +219,23 @@ class Model:
     p: np.ndarray
 
 
+def _smallest(docs: DataFrame, most: int) -> DataFrame:
+    """The doc_ids of the ``most`` smallest hashes of each language of docs (doc_id, lang).
+
+    A language's count says below which hash some four times as many lie; only those are ranked, so no task ranks
+    more, however common the language is.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    # A row for each language: the same few in every task.
+    few = docs.join(F.broadcast(counts), "lang").filter(place * F.col("n") < 4 * most)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    return few.withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id").distinct()
+
+
 def trained(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = MOST_TRAINING, held_out: int = 2) -> Model:
-    """Fitted on texts of docs (doc_id, text, lang) with a language whose crc32(doc_id) mod 4 is not held_out.
+    """Fitted on texts of docs (doc_id, text, lang) with a language whose crc32(doc_id) mod 4 is not held_out: of
+    each language ``most`` at most, all their words.
 
     Null texts and languages are left out; no such rows give a model without languages.
     """
@@ -189,17 +243,16 @@ def trained(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = MOST_TRAI
     bound_batches(spark)
     ids = pieces(vocabulary)
     longest, size = max(map(len, ids)), max(ids.values()) + 1
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != held_out))
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = usable.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id").distinct()
+    chosen = _smallest(usable.select("doc_id", "lang"), most)
 
     def count(batches):
         for b in batches:
             found: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found.setdefault(lang, Counter()).update(text.lower().split())
-            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items() if len(w) <= LONGEST_FITTED]
+            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     # `most` ids a language: a bounded broadcast, so that texts stay where they are.
@@ -219,7 +272,7 @@ def trained(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = MOST_TRAI
                 words, n = np.array(b.column(1).to_pylist(), object), b.column(2).to_numpy()
                 for k in np.unique(of).tolist():
                     mine = of == k
-                    total[k] = total.get(k, 0) + expected_counts(list(words[mine]), n[mine].astype(float), ids, longest, p[:, k])
+                    total[k] = total.get(k, 0) + all_expected_counts(list(words[mine]), n[mine].astype(float), ids, longest, p[:, k])
             for k, c in total.items():
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(c[at])], ["lang", "piece", "n"])

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, numbered, prefix_sums
+from .common import WORD, keyed, prefix_sums, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -23,7 +23,7 @@ NO_SOURCE = "~"  # after every "=" + source
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_COPIES) -> DataFrame:
-    """Adds weight and target to a table (skey, source_size), one row per source.
+    """Adds weight and target to a table (skey, source_size), one row per source: its windows take the sources into one task.
 
     Sources by code point take the weights in turn and share the sum of all sizes by weight; a
     target stops at cap times its source's size, and the excess is reshared by weight until none
@@ -60,6 +60,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_COP
     slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *key)
     slim = slim.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit(NO_SOURCE)))
     slim = slim.withColumn("one", F.lit(1).cast("long")).withColumn("tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    slim = written(slim, "mix-sizes")  # texts are read once
     ranked = prefix_sums(slim, ["skey"], ["size", "tie", *key], {"before": "one"}, "mix")
     targets = source_targets(slim.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, cap)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "skey")), 1, 5), 16, 10).cast("double") / F.lit(1048576.0)
@@ -78,7 +79,7 @@ def emitted(docs: DataFrame, **options) -> DataFrame:
     Rows with equal or null doc_id are documents of their own: each has a number here. A column of
     docs with the name copy is replaced.
     """
-    docs = numbered(docs.drop("copy"), "__row", F.col("doc_id").asc_nulls_first(), "mix-rows")
+    docs = keyed(docs.drop("copy"), "__row", "mix-rows")
     chosen = mixed(docs, **options, key=["__row"]).filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
     return docs.join(chosen, "__row").drop("__row")
 

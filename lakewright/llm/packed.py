@@ -73,31 +73,32 @@ def by_part(batches) -> Iterator[tuple[int, list[bytes]]]:
         yield now, got
 
 
-def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(part, key, doc_id, text as bytes) of docs (doc_id, text), and the number of buckets that part
+def bucketed(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, int]:
+    """(part, key, doc_id, row, text as bytes) of docs (doc_id, text), and the number of buckets that part
     counts: rows go to buckets by a hash of id and text, about BUCKET_BYTES of text to each. So only
-    rows that are equal in both are bound to lie together."""
+    rows that are equal in both are bound to lie together. row is a column of docs, or 0."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(shuffle_parts(docs.sparkSession), parts_for(total, BUCKET_BYTES))
     key = F.xxhash64("doc_id", "text")
-    own = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-    return own.select(F.pmod("key", F.lit(n)).cast("int").alias("part"), "key", "doc_id", "text"), n
+    carried = (F.col(row) if row else F.lit(0)).cast("long").alias("row")
+    own = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), carried, F.encode("text", "UTF-8").alias("text"))
+    return own.select(F.pmod("key", F.lit(n)).cast("int").alias("part"), "key", "doc_id", "row", "text"), n
 
 
 def with_answers(docs: DataFrame, answers: list[DataFrame], buckets: int) -> DataFrame:
-    """Rows (part, kind, doc_id, data) of each bucket: its answers (kind: their place in the list), then
+    """Rows (part, kind, doc_id, row, data) of each bucket: its answers (kind: their place in the list), then
     its documents (a later kind), in an order that follows from what they hold."""
-    every = docs.select("part", F.lit(len(answers)).alias("kind"), "key", "doc_id", F.col("text").alias("data"))
+    every = docs.select("part", F.lit(len(answers)).alias("kind"), "key", "doc_id", "row", F.col("text").alias("data"))
     for kind, a in enumerate(answers):
-        every = every.unionAll(a.filter("part >= 0").select("part", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("long").alias("doc_id"), "data"))
-    return dealt(every, buckets, "kind", "key", "doc_id", "data").drop("key")
+        every = every.unionAll(a.filter("part >= 0").select("part", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), "data"))
+    return dealt(every, buckets, "kind", "key", "doc_id", "data", "row").drop("key")
 
 
-def met(batches, kinds) -> Iterator[tuple[int, int, int | None, bytes | None, list[np.ndarray]]]:
-    """(bucket, place in the bucket, doc_id, text, the bucket's answers joined) of each document of ``with_answers``."""
+def met(batches, kinds) -> Iterator[tuple[int, int, int | None, int, bytes | None, list[np.ndarray]]]:
+    """(bucket, place in the bucket, doc_id, row, text, the bucket's answers joined) of each document of ``with_answers``."""
     now, place, got, joined = None, 0, [], None
     for batch in batches:
-        for part, kind, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for part, kind, doc_id, row, data in zip(*(c.to_pylist() for c in batch.columns)):
             if part != now:
                 now, place, got, joined = part, 0, [], None
             if kind == 0:
@@ -106,5 +107,5 @@ def met(batches, kinds) -> Iterator[tuple[int, int, int | None, bytes | None, li
                 if joined is None:
                     joined = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, k) for i, k in enumerate(kinds)]
                     got = []
-                yield part, place, doc_id, data, joined
+                yield part, place, doc_id, row, data, joined
                 place += 1

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import binaries, bound_batches, parts_for, remove, shuffle_parts, written
+from .common import binaries, bound_batches, join_counted, parts_for, remove, shuffle_parts, written
 from .components import components
 
 SHINGLE = 3
@@ -157,7 +157,8 @@ def links(fps: DataFrame, n_fps: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     parts = max(shuffle_parts(fps.sparkSession), parts_for(n_fps * VARIANTS, TASK_VARIANTS))
-    return variants(fps).repartition(parts, "key").mapInArrow(link, "a long, b long")
+    # Few fingerprints make many variants: they are dealt before they are made.
+    return variants(fps.repartition(parts)).repartition(parts, "key").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -170,17 +171,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     each = written(fingerprints(docs), "simhash-fp")
-    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = written(links(distinct.select("fp"), distinct.count()), "simhash-links")
+    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    total, fps = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    found = written(links(distinct.select("fp"), fps), "simhash-links")
     roots = components(found, "simhash-cc")
-    labelled = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    labelled = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     remove(spark, found)
     remove(spark, distinct)
-    ids = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
-    named = written(labelled.join(ids, "root").select("fp", "component_id"), "simhash-named")
+    remove(spark, roots)
+    ids = written(labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-ids")
+    named = written(join_counted(labelled.withColumnRenamed("n", "copies"), ids, ["root"], fps).select("fp", "component_id", F.col("copies").alias("n")), "simhash-named")
     remove(spark, labelled)
     remove(spark, ids)
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return join_counted(each, named, ["fp"], total).select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp: str = "fp"):

@@ -188,7 +188,7 @@ _NULL = -(1 << 63)
 
 def _emit_segments(batches, shards: int, heavy: np.ndarray):
     out, last, heard = _Segments(shards), None, None
-    for bucket, place, doc_id, text, answers in met(batches, (np.uint64, np.uint8)):
+    for bucket, place, doc_id, _, text, answers in met(batches, (np.uint64, np.uint8)):
         if heard is not answers:
             heard, order = answers, np.argsort(answers[0], kind="stable")
             anchors, often = answers[0][order], answers[1][order]
@@ -283,8 +283,9 @@ def covered(n: int, starts: np.ndarray, masks: np.ndarray, window: int = WINDOW)
     return np.cumsum(step[:n]) > 0
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept per row of docs (doc_id, text); kept has the kept words joined by a space.
+def deduplicated(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, row, n_words, n_removed, kept per row of docs (doc_id, text); kept has the kept words joined by a
+    space. row is the column of docs that is named so, to tell rows apart by, or 0.
 
     Null and empty texts have no words. A null doc_id comes before all others. Rows with the same
     doc_id count as the same document: words at the same place of it do not remove each other.
@@ -292,7 +293,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    own, buckets = bucketed(docs)
+    own, buckets = bucketed(docs, row)
     heavy, heavy_segments = _heavy(own)
     repeated = written(_repeated(own, buckets, heavy), "substring-anchors")
     # Two numbers from each shard of anchors.
@@ -306,9 +307,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         held, size = [], 0
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
         now, order, of = None, None, None
-        for _, place, doc_id, text, (places, start, mask) in met(batches, (np.uint32, np.uint32, np.uint64)):
+        for _, place, doc_id, row, text, (places, start, mask) in met(batches, (np.uint32, np.uint32, np.uint64)):
             if now is not places:
                 now, order = places, np.argsort(places, kind="stable")
                 of = places[order]
@@ -319,7 +320,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 drop = covered(n, start[order[i:j]], mask[order[i:j]])
                 gone = int(drop.sum())
                 words = [w for w, d in zip(words, drop.tolist()) if not d]
-            held.append((doc_id, n, gone, b" ".join(words)))
+            held.append((doc_id, row, n, gone, b" ".join(words)))
             size += len(text or b"")
             if size >= 8 << 20 or len(held) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
@@ -327,7 +328,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
-    kept = with_answers(own, [reports], buckets).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+    kept = with_answers(own, [reports], buckets).mapInArrow(cut, "doc_id long, row long, n_words long, n_removed long, kept binary")
     return kept.withColumn("kept", F.col("kept").cast("string"))
 
 

@@ -3,8 +3,9 @@
 A text's terms are its distinct words (A-Z lower-cased, punctuation at the ends taken off) and the
 first four and five letters of longer ones, hashed. The machine has a weight and a latent vector
 for each term, so it learns pairs, such as an insult with the mention of a group, that additive
-weights cannot express. Whole texts are scored where they are; the model's size does not depend
-on the corpus.
+weights cannot express. Terms have a row of the machine if they tell the classes apart alone or
+as a member of a pair; the others are noise. Whole texts are scored where they are; the model's size
+does not depend on the corpus.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from .common import binaries, bound_batches, crc_mod
 #: Labelled documents that the model is fitted on at most: those with the smallest hash of the id.
 MOST_TRAINING = 16_000
 BUCKETS = 1 << 20
-#: Terms that stand out most in either class are kept; the others are noise.
-MOST_TERMS = 4096
-LEAST_DOCS = 4
+#: z values from which a term counts, alone, and a pair of terms, which must also be this much beyond either term's.
+ALONE_Z, PAIR_Z, BEYOND = 2.0, 6.0, 2.0
+#: Documents that a term needs to have a z value, and terms, the most frequent ones, of which pairs are counted.
+LEAST_DOCS, PAIRED = 4, 2048
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 25, 256, 0.08, 2e-4
 THRESHOLD = 0.3
 _ENDS = b".,;:!?\"'()[]{}<>|*_-"
@@ -86,17 +88,37 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(rows, np.cumsum(sizes) - sizes), -30, 30)))
 
 
+def _z(n: np.ndarray, positive: np.ndarray, base: float) -> np.ndarray:
+    """How far the positive ones of n documents are from the rate, in deviations."""
+    return np.where(n >= LEAST_DOCS, np.abs(positive - n * base) / np.sqrt(np.maximum(n * base * (1 - base), 1e-9) + 1), 0.0)
+
+
 def select(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The buckets of the terms that stand out most, by the z value of their rates in the two classes."""
+    """The buckets of the terms whose rates in the two classes differ, alone or together with another term."""
     if not docs:
         return np.zeros(0, np.int64)
-    of = np.repeat(y, [len(d) for d in docs])
-    flat = np.concatenate(docs)
-    n, pos = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, weights=of, minlength=BUCKETS)
-    base = y.mean()
-    z = np.where(n >= LEAST_DOCS, np.abs(pos - n * base) / np.sqrt(np.maximum(n * base * (1 - base), 1e-9) + 1), 0.0)
-    best = np.argsort(-z, kind="stable")[:MOST_TERMS]
-    return np.sort(best[z[best] > 1.5])
+    sizes = np.array([len(d) for d in docs])
+    of, flat, base = np.repeat(np.arange(len(docs)), sizes), np.concatenate(docs), y.mean()
+    n = np.bincount(flat, minlength=BUCKETS)
+    z = _z(n, np.bincount(flat, weights=y[of], minlength=BUCKETS), base)
+    frequent = np.argsort(-n, kind="stable")[:PAIRED]
+    frequent = frequent[n[frequent] >= LEAST_DOCS]
+    column = np.full(BUCKETS, -1, np.int32)
+    column[frequent] = np.arange(len(frequent))
+    both, positive = (np.zeros((len(frequent),) * 2, np.float32) for _ in range(2))
+    at = column[flat]
+    for i in range(0, len(docs), 1024):
+        those = (of >= i) & (of < i + 1024) & (at >= 0)
+        x = np.zeros((min(1024, len(docs) - i), len(frequent)), np.float32)
+        x[of[those] - i, at[those]] = 1
+        both += x.T @ x
+        hits = x[y[i : i + 1024] > 0]
+        positive += hits.T @ hits
+    alone = z[frequent]
+    pair = _z(both, positive, base)
+    np.fill_diagonal(pair, 0)
+    found = (pair > PAIR_Z) & (pair > np.maximum.outer(alone, alone) + BEYOND)
+    return np.union1d(np.flatnonzero(z > ALONE_Z), frequent[found.any(1)])
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Machine:

@@ -72,12 +72,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return b"WARC/1.1\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
 
 
-def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from the records, or none where they are too few or too alike to train on."""
+#: Long records are trained on in pieces of so many bytes, all of them.
+PIECE = 1 << 17
+
+
+def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from the records; where they are too few or too alike to train on, their last bytes themselves."""
+    samples = [r[i : i + PIECE] for r in records for i in range(0, len(r), PIECE)]
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(256, sum(map(len, samples)) // 8)), samples)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(records)[-DICT_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive_frames(records: Iterator[bytes]) -> Iterator[bytes]:
@@ -90,8 +95,8 @@ def archive_frames(records: Iterator[bytes]) -> Iterator[bytes]:
             break
     if not held:
         return
-    trained = train([r[: 1 << 17] for r in held])
-    raw = trained.as_bytes() if trained else b""
+    trained = train(held)
+    raw = trained.as_bytes()
     yield struct.pack("<II", DICT_MAGIC, len(raw)) + raw
     compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True)
     for r in held:
@@ -108,7 +113,7 @@ def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     if magic != DICT_MAGIC:
         raise ValueError("an archive begins with its dictionary's frame")
     raw = archive[8 : 8 + n]
-    decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+    decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
     stream = io.BufferedReader(decompressor.stream_reader(io.BytesIO(memoryview(archive)[8 + n :]), read_across_frames=True), 1 << 16)
     while line := stream.readline():
         if line != b"WARC/1.1\r\n":
@@ -124,13 +129,14 @@ def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def planned(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """PLAN for every row of pages (page_id, url, html): the payload's digest, and whether the row
     is a revisit and of which page. Only ids and digests are grouped, and rows of one payload are
-    spread over SALTS keys to meet their target, so that a payload of a third of all rows is no
-    task of its own."""
+    spread over SALTS keys by id and address to meet their target, so that a payload of a third of all
+    rows is no task of its own, also where ids are null. A task's rows are an archive of about
+    ARCHIVE_BYTES: other payloads are spread by their digests, and revisits hold none."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
     targets = rows.filter(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.count("*").alias("rows"), F.max("page_id").alias("target"))
     targets = targets.filter((F.col("rows") > 1) & F.col("target").isNotNull()).select("digest", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     n = parts_for(total, ARCHIVE_BYTES, 1)
     revisit = F.coalesce(F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target")), F.lit(False))

@@ -5,12 +5,16 @@ from lakewright.llm import decontaminate as d
 
 def brute(docs, items):
     out = []
+    runs = lambda w, n: {tuple(w[p : p + n]) for p in range(len(w) - n + 1)}
     for i, t in docs:
-        own = d.shingles((t or "").encode().lower().split())
+        words = (t or "").lower().split()
+        own = {n: runs(words, n) for n in range(1, 6)}
         for k, x in items:
-            want = d.shingles((x or "").encode().lower().split())
-            if want and len(want & own) * 10 >= len(want) * 8:
-                out.append((i, k, len(want), len(want & own)))
+            item = (x or "").lower().split()
+            n = min(5, len(item))
+            want, own_ = (runs(item, n), own[n]) if n else (set(), set())
+            if want and len(want & own_) * 10 >= len(want) * 8:
+                out.append((i, k, len(want), len(want & own_)))
     return sorted(out, key=str)
 
 
@@ -29,8 +33,9 @@ def test_all_contained_items_are_found(spark):
         docs.append((1000 + i, docs[j][1] + " " + " \n".join(t) + " " + docs[j][1]))
         half = len(t) // 2  # in two places far apart
         docs.append((2000 + i, " ".join(t[: half + 4]) + " " + docs[j][1] + " " + " ".join(t[half:])))
-    docs += [(None, items[5][1]), (7, None), (8, ""), (9, "ONE TWO"), (10, "x one two"), (1, docs[1][1])]
+    docs += [(None, items[5][1]), (7, None), (8, ""), (9, "ONE TWO"), (10, "x one two"), (11, "one more two"), (1, docs[1][1])]
     got = d.contained_items(spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string"))
+    assert (10, 102, 1, 1) in brute(docs, items) and (11, 102, 1, 1) not in brute(docs, items)
     assert sorted(((r.doc_id, r.item_id, r.n_item_shingles, r.n_common) for r in got.collect()), key=str) == brute(docs, items)
     few = spark.createDataFrame(items, "item_id long, text string")
     assert d.contained_items(spark.createDataFrame(docs, "doc_id long, text string").limit(0), few).count() == 0

@@ -65,3 +65,33 @@ def test_held_out_accuracy_and_odd_rows(spark, sf_dir):
     assert langid.predicted(odd.limit(0), model).count() == 0
     nothing = langid.trained(docs.filter("doc_id < 0"))
     assert {r.lang_pred for r in langid.predicted(odd, nothing).collect()} == {"und"}
+
+
+def test_counts_in_logs_are_the_counts():
+    rng = np.random.default_rng(2)
+    p = rng.random(8)
+    words, n = ["abab", "ba", "aabbaba", "z"], np.array([3.0, 2.0, 1.0, 4.0])
+    plain = langid.expected_counts(words, n, IDS, 3, p)
+    assert np.allclose(langid.expected_counts_in_logs(words, n, IDS, 3, p), plain)
+    every = langid.all_expected_counts([*words, "ab" * 4000], np.append(n, 2.0), IDS, 3, p)
+    assert np.isfinite(every).all() and every.sum() > plain.sum() + 2 * 8000 / 3
+    # Each character is in one piece of every segmentation.
+    size = np.array([1, 1, 1, 1, 2, 2, 2, 3])
+    assert math.isclose(every @ size, plain @ size + 2 * 8001)
+
+
+def test_smallest_hashes_of_each_language(spark):
+    df = spark.range(60000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', IF(id % 30000 = 1, 'rare', 'b')) AS lang")
+    got = {r.doc_id for r in langid._smallest(df, 100).collect()}
+    rows = df.selectExpr("doc_id", "lang", "shiftrightunsigned(xxhash64(doc_id), 11) AS h").collect()
+    want = set()
+    for lang in ("a", "b", "rare"):
+        want |= {r.doc_id for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.h, r.doc_id))[:100]}
+    assert got == want
+
+
+def test_words_without_spaces_are_fitted(spark):
+    docs = spark.createDataFrame([(i, ("ab" if i % 2 else "xy") * 60, "one" if i % 2 else "two") for i in range(60)], "doc_id long, text string, lang string")
+    model = langid.trained(docs)
+    assert model.langs == ["one", "two"]
+    assert {(r.doc_id % 2, r.lang_pred) for r in langid.predicted(docs, model).collect()} == {(1, "one"), (0, "two")}
