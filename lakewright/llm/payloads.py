@@ -54,35 +54,37 @@ def references(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     none = np.zeros(0, np.int64)
     if len(data) < KEY:
         return none, none, none
-    raw = data.tobytes()
-    key = np.ndarray((len(raw) - KEY + 1,), "<u8", raw, 0, (1,))
-    starts = np.concatenate([[0], ends[:-1]])
-    of_start = np.repeat(starts, ends - starts)
-    whole = np.repeat(ends, ends - starts)[: len(key)] - np.arange(len(key)) >= KEY
+    raw, many = data.tobytes(), len(data)
+    key = np.ndarray((many - KEY + 1,), "<u8", raw, 0, (1,))
+    of = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+    whole = np.ones(many, bool)
+    for k in range(1, KEY):
+        whole[np.maximum(ends - k, 0)] = False
+    whole = np.flatnonzero(whole[: len(key)])
     # Places sorted by key and place, as one number.
     bits = np.uint64(max(1, len(key).bit_length()))
-    mixed = (key * np.uint64(0x9E3779B97F4A7C15)) >> bits << bits | np.arange(len(key), dtype=np.uint64)
-    mixed = np.sort(mixed[whole])
-    place = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    before, here = place[:-1], place[1:]
+    mixed = np.sort(key[whole] * np.uint64(0x9E3779B97F4A7C15) >> bits << bits | whole.astype(np.uint64))
+    place = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int32)
+    near = np.flatnonzero(mixed[1:] >> bits == mixed[:-1] >> bits)
+    before, here = place[near], place[near + 1]
     back = here - before
-    same = (key[before] == key[here]) & (before >= of_start[here]) & (back <= FARTHEST)
-    distance = np.zeros(len(data) + 1, np.int64)
+    same = (key[before] == key[here]) & (of[before] == of[here]) & (back <= FARTHEST)
+    distance = np.zeros(many, np.int32)
     distance[here[same]] = back[same]
     # Places one after the other with one distance are one match.
-    distance = distance[:-1]
-    last = np.append(np.flatnonzero(distance[:-1] != distance[1:]), len(data) - 1)
-    length = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(data)) + KEY
+    last = np.append(np.flatnonzero(distance[:-1] != distance[1:]), many - 1)
+    length = np.repeat(last.astype(np.int32), np.diff(last, prepend=-1)) - np.arange(many, dtype=np.int32) + np.int32(KEY)
     some = np.flatnonzero(distance)
     if not len(some):
         return none, none, none
     # The match that a greedy reading takes after each.
-    after, chain, k = np.searchsorted(some, some + length[some]), [], 0
+    upto = np.append(np.cumsum(distance > 0, dtype=np.int32), len(some))
+    after, chain, k = upto[some + length[some] - 1], [], 0
     while k < len(some):
         chain.append(k)
         k = after.item(k)
     p = some[chain]
-    n, d = length[p], distance[p]
+    n, d = length[p].astype(np.int64), distance[p].astype(np.int64)
     parts = -(-n // LONGEST)
     part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     p, d, left = np.repeat(p, parts) + part * LONGEST, np.repeat(d, parts), np.repeat(n, parts) - part * LONGEST
