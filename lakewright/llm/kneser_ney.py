@@ -40,7 +40,7 @@ from .packed import PACKED, TOTALS, by_part, dealt, packed, rows, shard, unpacke
 
 ORDER = 3
 #: Text bytes in a bucket, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: No words: they have white space.
 START, END = np.uint64(xxh64_intdigest(b" start ")), np.uint64(xxh64_intdigest(b" end "))
 PSEUDO = 0.1
@@ -79,6 +79,15 @@ def large(low: np.ndarray, more: np.ndarray) -> np.ndarray:
     return out
 
 
+def sealed(*arrays: np.ndarray) -> bytes:
+    """The arrays packed and compressed: most of what tasks tell each other are zeros and ones."""
+    return zstandard.compress(packed(*arrays), 1)
+
+
+def opened(data: bytes, *kinds) -> list[np.ndarray]:
+    return unpacked(zstandard.decompress(data), *kinds)
+
+
 def _counts(arrays: list[np.ndarray]) -> list[np.ndarray]:
     return [large(*arrays[i : i + 2]) for i in range(0, len(arrays), 2)]
 
@@ -232,7 +241,7 @@ _OWN = (np.uint32, np.uint8, np.uint64, np.uint8)
 
 def _owned(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(counts, which are owned) of what a bucket told, in ascending order of the hashes."""
-    each = [unpacked(d, *_OWN) for d in answers]
+    each = [opened(d, *_OWN) for d in answers]
     # The last of an answer is packed bits, unpacked shard by shard.
     count, own = _joined([[a[0], large(a[1], a[2]), np.unpackbits(a[3])[: len(a[1])]] for a in each], 2)
     return count, own > 0
@@ -275,7 +284,7 @@ def _tell(order: int, at: int, shards: int):
         for part, bucket, answers in _met(batches, order - at):
             h, said = _told(bucket, order, at, answers)
             for k, h, values in _by_shard(h, shards, *said):
-                yield rows([(k, packed(np.array([part], np.uint32), deltas(h), *(x for v in values for x in small(v))))])
+                yield rows([(k, sealed(np.array([part], np.uint32), deltas(h), *(x for v in values for x in small(v))))])
 
     return each
 
@@ -287,7 +296,7 @@ def _sum(width: int, owners: bool):
 
     def each(batches):
         for number, data in by_part(batches):
-            told = [unpacked(d, np.uint32, np.uint8, *[np.uint8, np.uint64] * width) for d in data]
+            told = [opened(d, np.uint32, np.uint8, *[np.uint8, np.uint64] * width) for d in data]
             told.sort(key=lambda t: int(t[0][0]))
             hashes = [ascending(t[1]) for t in told]
             every = np.concatenate(hashes)
@@ -296,8 +305,8 @@ def _sum(width: int, owners: bool):
             sums = [np.bincount(of, np.concatenate([large(*t[2 + 2 * i : 4 + 2 * i]) for t in told]).astype(np.float64), len(model)).astype(np.int64) for i in range(width)]
             extra = [np.array([np.count_nonzero(sums[5]), sums[5].sum()], np.int64)] if width > STATS else []
             extra = [np.array([sums[which].sum(), np.count_nonzero(sums[which])], np.int64), *extra]
-            yield rows([(TOTALS, packed(_count_of_counts(sums[which]), np.concatenate(extra)))])
-            yield rows([(MODEL - number, packed(deltas(model), *(x for s in sums for x in small(s))))])
+            yield rows([(TOTALS, sealed(_count_of_counts(sums[which]), np.concatenate(extra)))])
+            yield rows([(MODEL - number, sealed(deltas(model), *(x for s in sums for x in small(s))))])
             if owners:
                 owner = np.full(len(model), len(every), np.int64)
                 np.minimum.at(owner, of, np.arange(len(every)))
@@ -307,7 +316,7 @@ def _sum(width: int, owners: bool):
                 for t, h in zip(told, hashes):
                     s = slice(start, start + len(h))
                     start += len(h)
-                    yield rows([(int(t[0][0]), packed(np.array([number], np.uint32), *small(sums[which][of[s]]), np.packbits(own[s])))])
+                    yield rows([(int(t[0][0]), sealed(np.array([number], np.uint32), *small(sums[which][of[s]]), np.packbits(own[s])))])
 
     return each
 
@@ -390,7 +399,7 @@ def trained(buckets: DataFrame, n: int, order: int, use: Callable[[int, DataFram
         stored = kept("stored")
         answered.append(kept("answer"))
         # Some numbers from each shard.
-        got = [unpacked(bytes(r.data), np.int64, np.int64) for r in stored.filter(F.col("part") == TOTALS).select("data").toLocalIterator()]
+        got = [opened(bytes(r.data), np.int64, np.int64) for r in stored.filter(F.col("part") == TOTALS).select("data").toLocalIterator()]
         counts = sum((c for c, _ in got), np.zeros(4, np.int64))
         totals = sum((t for _, t in got), np.zeros(4 if at == 1 else 2, np.int64))
         discounts.append(Discounts.of(counts))
@@ -415,7 +424,7 @@ def _ask(order: int, highest: int, shards: int):
                 if order == highest:
                     h = h[np.bincount(of[bucket.training], minlength=len(h)) == 0]
                 for k, own, _ in _by_shard(h, shards):
-                    yield rows([(k, packed(np.array([part], np.uint32), deltas(own)))])
+                    yield rows([(k, sealed(np.array([part], np.uint32), deltas(own)))])
 
     return each
 
@@ -431,10 +440,10 @@ def _look_up(width: int):
                 if part != now:
                     now, model, counts = part, np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * width
                 if kind == 0:
-                    planes, *own = unpacked(data, np.uint8, *[np.uint8, np.uint64] * width)
+                    planes, *own = opened(data, np.uint8, *[np.uint8, np.uint64] * width)
                     model, counts = in_memory_map(ascending(planes)), [in_memory_map(c) for c in _counts(own)]
                     continue
-                bucket, planes = unpacked(data, np.uint32, np.uint8)
+                bucket, planes = opened(data, np.uint32, np.uint8)
                 h = ascending(planes)
                 place = np.searchsorted(model, h)
                 inside = np.flatnonzero(place < len(model))
@@ -444,7 +453,7 @@ def _look_up(width: int):
                     found = np.zeros(len(h), np.int64)
                     found[hit] = c[place[hit]]
                     out += small(found)
-                yield rows([(int(bucket[0]), packed(np.array([part], np.uint32), *out))])
+                yield rows([(int(bucket[0]), sealed(np.array([part], np.uint32), *out))])
 
     return each
 
@@ -485,7 +494,7 @@ def scored(docs: DataFrame, training, order: int = ORDER) -> DataFrame:
         for _, bucket, got in _met(batches, order + 1):
             of, counts = [], []
             for k, (arrays, data) in enumerate(zip(widths, got), 1):
-                each = [unpacked(d, np.uint32, *[np.uint8, np.uint64] * arrays) for d in data]
+                each = [opened(d, np.uint32, *[np.uint8, np.uint64] * arrays) for d in data]
                 numbers, h = bucket.numbered(k)
                 found = _joined([[a[0], *_counts(a[1:])] for a in each], arrays)
                 if k == order:
