@@ -105,19 +105,28 @@ def read_code(bits: Bits, size: int) -> Code:
         kinds[i] = bits.read(3)
     kind = Code(kinds)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    at, last, table, mask = 0, 8, kind.table.tolist(), (1 << kind.bits) - 1
+    # Lengths have 14 bits at most with what follows them; the bits pass through one integer.
+    held = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * size + 2], "little") >> (bits.at & 7)
     while at < size and most:
         most -= 1
-        symbol = kind.read(bits)
+        entry = table[held & mask]
+        symbol, used = entry >> 4, entry & 15
+        held >>= used
         if symbol < 16:
             lengths[at] = symbol
             last, at = symbol or last, at + 1
-            continue
-        n = 3 + bits.read(2) if symbol == 16 else 3 + bits.read(3) if symbol == 17 else 11 + bits.read(7)
-        if at + n > size:
-            raise FormatError("too many code lengths")
-        lengths[at : at + n] = last if symbol == 16 else 0
-        at += n
+        else:
+            extra, n = ((2, 3), (3, 3), (7, 11))[symbol - 16]
+            n += held & ((1 << extra) - 1)
+            held, used = held >> extra, used + extra
+            if at + n > size:
+                raise FormatError("too many code lengths")
+            lengths[at : at + n] = last if symbol == 16 else 0
+            at += n
+        bits.at += used
+    if bits.at > bits.end:
+        raise FormatError("the data end early")
     return Code(lengths)
 
 
@@ -620,9 +629,15 @@ def put_code(w: Writer, lengths: np.ndarray) -> None:
     w.put(1, 1)
     w.put((many - 2) // 2, 3)
     w.put(len(runs) - 2, many)
+    values, sizes = w.values, w.sizes
     for symbol, extra, size in runs:
-        w.put(*table[symbol])
-        w.put(extra, size)
+        value, bits = table[symbol]
+        if bits:
+            values.append(value)
+            sizes.append(bits)
+        if size:
+            values.append(extra)
+            sizes.append(size)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
