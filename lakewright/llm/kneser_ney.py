@@ -40,7 +40,7 @@ from .packed import PACKED, TOTALS, by_part, dealt, packed, rows, shard, unpacke
 
 ORDER = 3
 #: Text bytes in a bucket, about.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
 #: No words: they have white space.
 START, END = np.uint64(xxh64_intdigest(b" start ")), np.uint64(xxh64_intdigest(b" end "))
 PSEUDO = 0.1
@@ -79,13 +79,17 @@ def large(low: np.ndarray, more: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Made once for a worker: a message is small beside what making them costs.
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def sealed(*arrays: np.ndarray) -> bytes:
     """The arrays packed and compressed: most of what tasks tell each other are zeros and ones."""
-    return zstandard.compress(packed(*arrays), 1)
+    return _ZIP.compress(packed(*arrays))
 
 
 def opened(data: bytes, *kinds) -> list[np.ndarray]:
-    return unpacked(zstandard.decompress(data), *kinds)
+    return unpacked(_UNZIP.decompress(data), *kinds)
 
 
 def _counts(arrays: list[np.ndarray]) -> list[np.ndarray]:
@@ -105,12 +109,17 @@ def in_memory_map(array: np.ndarray) -> np.ndarray:
         os.unlink(path)
 
 
+def _first(ranked: np.ndarray) -> np.ndarray:
+    """Where each value of an ascending array begins."""
+    out = np.ones(len(ranked), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=out[1:])
+    return out
+
+
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a number for each key, equal for equal ones and ascending with them; a place of each)."""
     order = np.argsort(keys)
-    ranked = keys[order]
-    new = np.ones(len(keys), bool)
-    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    new = _first(keys[order])
     of = np.empty(len(keys), np.int32)
     of[order] = np.cumsum(new, dtype=np.int32) - 1
     return of, order[new]
@@ -252,9 +261,13 @@ def _told(bucket: Bucket, order: int, down_to: int, answers: list[list[bytes]])
     says), from the answers to what it told of the orders above."""
     at = np.flatnonzero(bucket.training)
     h = bucket.hashes(order)[at]
+    if not answers:
+        h.sort()
+        new = np.flatnonzero(_first(h))
+        return h[new], np.diff(np.append(new, len(h)))[None]
     by = np.argsort(h)
     h = h[by]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    new = np.flatnonzero(_first(h))
     said, h, place = np.diff(np.append(new, len(h)))[None], h[new], at[by[new]]
     for below, got in zip(range(order - 1, down_to - 1, -1), answers):
         count, own = _owned(got)
@@ -420,9 +433,14 @@ def _ask(order: int, highest: int, shards: int):
         for part, data in by_part(batches):
             for d in data:
                 bucket = Bucket(d)
-                of, h = bucket.numbered(order)
-                if order == highest:
-                    h = h[np.bincount(of[bucket.training], minlength=len(h)) == 0]
+                if order == 1:
+                    h = np.sort(bucket.vocabulary)
+                else:
+                    # The lowest bit, which hashes do not use, puts training places first.
+                    h = bucket.hashes(order) | (~bucket.training).view(np.uint8) if order == highest else bucket.hashes(order)
+                    h = np.sort(h)
+                    new = _first(h & _KEPT)
+                    h = h[new & (h & np.uint64(1) > 0)] & _KEPT if order == highest else h[new]
                 for k, own, _ in _by_shard(h, shards):
                     yield rows([(k, sealed(np.array([part], np.uint32), deltas(own)))])
 
