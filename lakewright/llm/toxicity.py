@@ -97,25 +97,28 @@ def select(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The buckets of the terms whose rates in the two classes differ, alone or together with another term."""
     if not docs:
         return np.zeros(0, np.int64)
-    sizes = np.array([len(d) for d in docs])
-    of, flat, base = np.repeat(np.arange(len(docs)), sizes), np.concatenate(docs), y.mean()
-    n = np.bincount(flat, minlength=BUCKETS)
-    z = _z(n, np.bincount(flat, weights=y[of], minlength=BUCKETS), base)
+    base, some = y.mean(), 1024
+    n, hits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    for i in range(0, len(docs), some):
+        flat = np.concatenate(docs[i : i + some])
+        n += np.bincount(flat, minlength=BUCKETS)
+        hits += np.bincount(flat, np.repeat(y[i : i + some], [len(d) for d in docs[i : i + some]]), BUCKETS)
+    z = _z(n, hits, base)
     frequent = np.argsort(-n, kind="stable")[:PAIRED]
     frequent = frequent[n[frequent] >= LEAST_DOCS]
     column = np.full(BUCKETS, -1, np.int32)
     column[frequent] = np.arange(len(frequent))
     both, positive = (np.zeros((len(frequent),) * 2, np.float32) for _ in range(2))
-    at = column[flat]
-    for i in range(0, len(docs), 1024):
-        those = (of >= i) & (of < i + 1024) & (at >= 0)
-        x = np.zeros((min(1024, len(docs) - i), len(frequent)), np.float32)
-        x[of[those] - i, at[those]] = 1
+    for i in range(0, len(docs), some):
+        x = np.zeros((len(docs[i : i + some]), len(frequent)), np.float32)
+        for k, d in enumerate(docs[i : i + some]):
+            at = column[d]
+            x[k, at[at >= 0]] = 1
         both += x.T @ x
-        hits = x[y[i : i + 1024] > 0]
-        positive += hits.T @ hits
-    alone = z[frequent]
-    pair = _z(both, positive, base)
+        x = x[y[i : i + some] > 0]
+        positive += x.T @ x
+    alone = z[frequent].astype(np.float32)
+    pair = _z(both, positive, float(base))
     np.fill_diagonal(pair, 0)
     found = (pair > PAIR_Z) & (pair > np.maximum.outer(alone, alone) + BEYOND)
     return np.union1d(np.flatnonzero(z > ALONE_Z), frequent[found.any(1)])
@@ -181,7 +184,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, held_
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = sample.select("doc_id", "toxic", "text").mapInArrow(each, "doc_id long, toxic int, terms binary").toArrow()
     rows = sorted(zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), rows["terms"].to_pylist()))
-    return fit([np.frombuffer(t, np.int32).astype(np.int64) for _, _, t in rows], np.array([float(y > 0) for _, y, _ in rows]))
+    return fit([np.frombuffer(t, np.int32) for _, _, t in rows], np.array([float(y > 0) for _, y, _ in rows]))
 
 
 class Scorer:
